@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.text import has_text, text_or_empty
+from attesta.functions.text import has_text, null_if_blank, text_or_empty
 from attesta.operators.release import Tables, fact_rows
 from attesta.operators.windows import first_occurrence, latest_status_by_curator
 
@@ -86,33 +86,57 @@ def dictionary_anti(new: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def override_lookup(reviews: DataFrame, tables: Tables, curator_id: str) -> DataFrame:
-    """Reviewed rows with the live entity, one curator's newest decision, and the first DOI of their pmid."""
+    """Reviewed rows with the live entity, one curator's newest status, and the first DOI of their pmid."""
     live = fact_rows(tables).select(
-        "entity_table", F.col("evidence_id").alias("entity_id"), "evidence_grade", F.lit(True).alias("is_live")
+        "entity_table",
+        F.col("evidence_id").alias("entity_id"),
+        "evidence_grade",
+        F.col("source_location").alias("live_location"),
+        "is_observed_experimental",
+        F.when(F.col("entity_table") == "offtarget_evidence", F.col("is_computational_prediction")).alias("is_computational_prediction"),
+        F.lit(True).alias("is_live"),
     )
     status = latest_status_by_curator(tables["curation_audit"], curator_id).select(
-        "entity_table", "entity_id", F.col("curator_decision").alias("curator_status")
+        "entity_table", "entity_id", F.col("validation_status").alias("current_status"), F.col("curator_decision").alias("curator_status")
     )
     dois = first_occurrence(tables["source_document"].filter(has_text("pmid") & has_text("doi")), "pmid", [F.asc("id")])
-    return (
+    joined = (
         reviews.join(live, ["entity_table", "entity_id"], "left")
         .join(status, ["entity_table", "entity_id"], "left")
-        .join(dois.select("pmid", "doi"), "pmid", "left")
-        .withColumn("is_live", F.coalesce("is_live", F.lit(False)))
-        .withColumn("curator_status", text_or_empty("curator_status"))
-        .withColumn("evidence_grade", text_or_empty("evidence_grade"))
-        .withColumn("doi", text_or_empty("doi"))
+        .join(dois.select("pmid", F.col("doi").alias("_doi")), "pmid", "left")
     )
+    own = null_if_blank("doi") if "doi" in reviews.columns else F.lit(None).cast("string")
+    return joined.withColumns(
+        {
+            "is_live": F.coalesce("is_live", F.lit(False)),
+            "curator_status": text_or_empty("curator_status"),
+            "current_status": text_or_empty("current_status"),
+            "evidence_grade": text_or_empty("evidence_grade"),
+            "doi": F.coalesce(own, "_doi", F.lit("")),
+        }
+    ).drop("_doi")
 
 
 def override_table(reviews: DataFrame, tables: Tables, curator_id: str) -> DataFrame:
-    """`override_lookup` with where the final decision comes from."""
+    """Reproducibility table of human decisions against the live release.
+
+    `reviews` has entity_table, entity_id, pmid, final_decision and, optionally, doi and claimed_location;
+    the live location wins over the claimed one.
+    """
     looked_up = override_lookup(reviews, tables, curator_id)
-    return looked_up.withColumn(
-        "provenance",
-        F.when(F.col("curator_status") == "", "review_only")
-        .when(F.col("curator_status") == F.col("final_decision"), "confirmed")
-        .otherwise("overridden"),
+    claimed = text_or_empty("claimed_location") if "claimed_location" in reviews.columns else F.lit("")
+    return looked_up.select(
+        F.concat_ws(":", "entity_table", F.col("entity_id").cast("string")).alias("candidate_id"),
+        "entity_table",
+        "entity_id",
+        "pmid",
+        "doi",
+        F.coalesce(null_if_blank("live_location"), claimed).alias("source_location"),
+        "final_decision",
+        "is_observed_experimental",
+        "is_computational_prediction",
+        F.col("current_status").alias("current_validation_status"),
+        F.lit(curator_id).alias("curator_id"),
     )
 
 
