@@ -18,6 +18,7 @@ from attesta.functions.text import (
 from attesta.operators.release import Tables, fact_rows
 from attesta.operators.stats import leakage_violations
 from attesta.operators.windows import split_by_hash, stratified_sample
+from attesta.session import materialize
 from attesta.sources.schema import FACTS
 
 MIXED = ("ASO/siRNA", "ASO/siRNA mixed context")  # fixed values: queue wording -> modality name
@@ -169,6 +170,7 @@ def promote_review(tables: Tables, reviews: DataFrame, now: str) -> dict[str, Da
     again adds nothing.
     """
     rows, modality, molecule = resolved_reviews(tables, reviews)
+    rows = materialize(rows)  # read by every table below; as many rows as accepted reviews
     shared = [
         F.col("fact_id").alias("id"), "molecule_id", "assay_id", "source_document_id",
         F.col("source_location_verified").alias("source_location"), "evidence_grade", F.lit(1).alias("is_observed_experimental"),
@@ -244,7 +246,7 @@ def apply_verdicts(tables: Tables, verdicts: DataFrame, now: str) -> tuple[dict[
     Returns the new tables and the counts per outcome, with the number of split rows removed. Nothing is
     written, so a dry run is simply not writing the result.
     """
-    decided = verdict_outcomes(tables, verdicts)
+    decided = materialize(verdict_outcomes(tables, verdicts))  # as many rows as verdicts
     removed = decided.filter("outcome = 'rejected_removed'").select("entity_table", "entity_id")
     applied = decided.filter(F.col("outcome").isin("rejected_removed", "accept_confirmed"))
     reject = F.col("outcome") == "rejected_removed"

@@ -35,6 +35,7 @@ from attesta.functions.text import (
 from attesta.lexicons import CONCERNS, SEARCH_STOPWORDS, SEARCH_SYNONYMS, Concern
 from attesta.operators.search import match_batch
 from attesta.operators.windows import first_occurrence, top_per_group
+from attesta.session import materialize
 
 DESIGN_FIELDS = "sequence helm target modification delivery endpoint species cell_type".split()
 # Fields a concern is looked for in.
@@ -218,7 +219,8 @@ def safety_triage(
 ) -> dict[str, DataFrame]:
     """Triage of all designs: plans, release, gaps, states, matrix, report."""
     plans = triage_plans(designs, concerns, synonyms, stopwords)
-    release, gaps = concern_matches(plans, view, candidates, limit)
+    # Matches are bounded by designs x concerns x limit, and every later table reads them.
+    release, gaps = (materialize(m) for m in concern_matches(plans, view, candidates, limit))
     states = evidence_state(plans, release, gaps)
     considered = release.filter("rank <= 8").select("design_id", "record").distinct()
     gap_rows = gaps.filter("rank <= 8").select("design_id", "id").distinct()

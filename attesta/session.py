@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "attesta", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -40,3 +40,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a result that several branches read once, and keep it in the shared checkpoint folder.
+
+    For reduced results only (matches, decisions): the stored copy survives the loss of executors.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
