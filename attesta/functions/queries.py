@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.functions.text import ColumnOrName, as_col, contains_ci, text_or_empty
+from attesta.functions.text import ColumnOrName, as_col, contains_ci, distinct_by, text_or_empty
 from attesta.lexicons import SEARCH_STOPWORDS, SEARCH_SYNONYMS
 
 TOKEN = r"[a-z0-9']+"  # fixed value: what a search token is
@@ -44,9 +44,7 @@ def query_terms(
         lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t),
     )
     groups = F.transform(F.array_distinct(tokens), lambda t: F.coalesce(lookup[t], F.array(t)))
-    keys = F.transform(groups, lambda g: F.array_join(F.array_sort(g), "|"))
-    kept = F.filter(groups, lambda g, i: F.array_position(keys, F.array_join(F.array_sort(g), "|")) == i + 1)
-    return F.slice(kept, 1, maximum)
+    return F.slice(distinct_by(groups, lambda g: F.array_join(F.array_sort(g), "|")), 1, maximum)
 
 
 def parse_terms(
@@ -94,10 +92,14 @@ def field_blob(fields: list[str]) -> Column:
 
 
 def groups_match(blob: Column, groups: Column) -> Column:
-    """Every group has a spelling contained in the row text."""
-    return F.forall(groups, lambda g: F.exists(g, lambda s: F.contains(blob, F.lower(s))))
+    """Every group has a (lower-case) spelling contained in the row text."""
+    return F.forall(groups, lambda g: F.exists(g, lambda s: F.contains(blob, s)))
+
+
+def lower_groups(groups: Column) -> Column:
+    return F.transform(groups, lambda g: F.transform(g, lambda s: F.lower(s)))
 
 
 def groups_or_raw(c: ColumnOrName, groups: Column) -> Column:
     """Groups of a query, or the raw query as the only group."""
-    return F.when(F.size(groups) == 0, F.array(F.array(F.lower(text_or_empty(as_col(c)))))).otherwise(groups)
+    return F.when(F.size(groups) == 0, F.array(F.array(F.lower(text_or_empty(as_col(c)))))).otherwise(lower_groups(groups))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.functions.text import ColumnOrName, text_or_empty
+from attesta.functions.text import ColumnOrName, let, text_or_empty
 
 
 def canonical_sequence(c: ColumnOrName) -> Column:
@@ -21,9 +21,15 @@ def sequence_from_helm(c: ColumnOrName) -> Column:
 def kmer_windows(seq: ColumnOrName, k: int = 7, maximum: int = 12) -> Column:
     """Distinct k-mers in first-seen order, at most `maximum`; empty when the sequence is shorter than k."""
     s = text_or_empty(seq)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(s) - (k - 1), F.lit(1)))
-    grams = F.slice(F.array_distinct(F.transform(starts, lambda i: F.substr(s, i, F.lit(k)))), 1, maximum)
-    return F.when(F.length(s) >= k, grams).otherwise(F.array().cast("array<string>"))
+
+    def grams(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(t) - (k - 1), F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.substr(t, i, F.lit(k))))
+
+    # The head of the sequence nearly always holds enough distinct windows; only repeats need all of it.
+    head = let(F.substring(s, 1, 40 * maximum), grams)
+    full = F.when(F.size(head) >= maximum, head).otherwise(let(s, grams))
+    return F.when(F.length(s) >= k, F.slice(full, 1, maximum)).otherwise(F.array().cast("array<string>"))
 
 
 def seed_2_8(seq: ColumnOrName) -> Column:

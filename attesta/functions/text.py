@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,6 +18,25 @@ def as_col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once per row and use it any number of times in `body`.
+
+    Inside array functions an expression is evaluated again for every element it is used for; a bound
+    value is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def distinct_by(items: Column, key: Callable[[Column], Column]) -> Column:
+    """First item per key, in order of occurrence; sorts instead of comparing all pairs."""
+    tagged = F.transform(items, lambda t, i: F.struct(key(t).alias("k"), i.alias("i"), t.alias("t")))
+    firsts = let(
+        F.array_sort(tagged), lambda a: F.filter(a, lambda s, n: (n == 0) | (F.get(a, n - 1)["k"] != s["k"]))
+    )
+    ordered = F.array_sort(F.transform(firsts, lambda s: F.struct(s["i"].alias("i"), s["t"].alias("t"))))
+    return F.transform(ordered, lambda s: s["t"])
+
+
 def text_or_empty(c: ColumnOrName) -> Column:
     """NULL and '' mean the same everywhere in the data model."""
     return F.coalesce(as_col(c).cast("string"), F.lit(""))
@@ -116,8 +136,7 @@ def split_terms(*cols: ColumnOrName) -> Column:
     """User terms: cut at , ; / |, trimmed, two characters or more, case-insensitive first-seen distinct."""
     pieces = F.split(F.concat_ws(",", *[text_or_empty(c) for c in cols]), r"[,;/|]+")
     cleaned = F.filter(F.transform(pieces, lambda t: strip(t)), lambda t: F.length(t) >= 2)
-    keys = F.transform(cleaned, lambda t: F.lower(t))
-    return F.filter(cleaned, lambda t, i: F.array_position(keys, F.lower(t)) == i + 1)
+    return distinct_by(cleaned, F.lower)
 
 
 def node_id(prefix: str, c: ColumnOrName) -> Column:

@@ -17,6 +17,7 @@ from attesta.functions.text import (
     compact_text,
     contains_any,
     has_text,
+    let,
     null_if_blank,
     text_or_empty,
 )
@@ -42,8 +43,11 @@ def sentences(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_i
 
 def hits_in(sentence: Column, terms: Sequence[str]) -> Column:
     """Distinct terms in a sentence; usable inside array functions."""
-    low = F.lower(sentence)
-    return reduce(lambda a, b: a + b, [F.contains(low, F.lit(t.lower())).cast("int") for t in terms], F.lit(0))
+
+    def count(low: Column) -> Column:
+        return reduce(lambda a, b: a + b, [F.contains(low, F.lit(t.lower())).cast("int") for t in terms], F.lit(0))
+
+    return let(F.lower(sentence), count)
 
 
 def sentence_hits(sentences_col: str, terms: Sequence[str]) -> Column:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.text import ColumnOrName, as_col, text_or_empty
+from attesta.functions.text import ColumnOrName, as_col, distinct_by, text_or_empty
 
 
 def any_word(words: Sequence[str]) -> str:
@@ -177,8 +177,7 @@ def distinct_matches(field: ColumnOrName, patterns: Sequence[str], skip: Sequenc
     """The first distinct matches of the patterns, pattern by pattern, case-insensitively distinct."""
     parts = [F.regexp_extract_all(text_or_empty(field), F.lit("(?i)" + p), F.lit(0)) for p in patterns]
     tokens = F.filter(F.concat(*parts), lambda t: ~F.lower(t).isin(list(skip)) & (t != "")) if skip else F.concat(*parts)
-    lowered = F.transform(tokens, lambda t: F.lower(t))
-    return F.slice(F.filter(tokens, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1), 1, first)
+    return F.slice(distinct_by(tokens, F.lower), 1, first)
 
 
 def field_text(*fields: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,7 @@ from attesta.functions.text import (
     first_text,
     has_text,
     joined_lower,
+    let,
     rank_of,
     text_or_empty,
 )
@@ -126,8 +128,10 @@ def raw_count(
 MAX_BATCH = 1000  # queries held in one array value; larger batches are cut by hash
 
 
-def match_batch(rows: DataFrame, plans: DataFrame, key: str, condition, row_columns: list[str]) -> DataFrame:
-    """(key, row columns) for every plan a row satisfies.
+def match_batch(
+    rows: DataFrame, plans: DataFrame, key: str, text: Column, condition: Callable[[Column, Column], Column], row_columns: list[str]
+) -> DataFrame:
+    """(key, row columns) for every plan a row satisfies; `condition` gets the plan and the row's search text.
 
     The plans of a batch become one array value, so the rows are scanned once, without a join or a
     shuffle; only true matches leave the scan. Batches above MAX_BATCH plans are cut by key hash.
@@ -137,7 +141,7 @@ def match_batch(rows: DataFrame, plans: DataFrame, key: str, condition, row_colu
     for part in range(parts):
         chunk = plans if parts == 1 else plans.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
         batch = chunk.agg(F.collect_list(F.struct(*plans.columns))).scalar()
-        hits = F.transform(F.filter("_batch", condition), lambda p: p[key])
+        hits = F.transform(let(text, lambda t: F.filter("_batch", lambda p: condition(p, t))), lambda p: p[key])
         results.append(rows.withColumn("_batch", batch).select(F.explode(hits).alias(key), *row_columns))
     return reduce(DataFrame.unionByName, results)
 
@@ -152,8 +156,7 @@ def synonym_search(
 ) -> DataFrame:
     """Search for a table of queries (query_id, q): one output row per (query, matching row)."""
     parsed = queries.select("query_id", groups_or_raw("q", query_terms("q", synonyms, stopwords)).alias("groups"))
-    searched = df.withColumn("_blob", field_blob(fields))
-    return match_batch(searched, parsed, "query_id", lambda p: groups_match(F.col("_blob"), p["groups"]), row_columns)
+    return match_batch(df, parsed, "query_id", field_blob(fields), lambda p, t: groups_match(t, p["groups"]), row_columns)
 
 
 def list_sources(
@@ -450,7 +453,7 @@ def question_plan(questions: DataFrame, terms: list[QuestionTerm] = QUESTION_TER
         F.array(*[
             F.when(
                 contains_any(low, list(t.labels)),
-                F.struct(F.lit(t.key).alias("key"), F.array(*[F.lit(s) for s in t.synonyms]).alias("synonyms")),
+                F.struct(F.lit(t.key).alias("key"), F.array(*[F.lit(s.lower()) for s in t.synonyms]).alias("synonyms")),
             )
             for t in terms
         ])
@@ -464,18 +467,18 @@ def question_plan(questions: DataFrame, terms: list[QuestionTerm] = QUESTION_TER
 def ask_filter(view: DataFrame, questions: DataFrame, terms: list[QuestionTerm] = QUESTION_TERMS, targets: bool = True) -> DataFrame:
     """Release rows that answer each question, as (question_id, row columns)."""
     plans = question_plan(questions, terms, targets)
-    searched = view.withColumn("_blob", joined_lower(QUESTION_FIELDS)).withColumn("_target", F.lower(text_or_empty("target_gene_symbol")))
+    target = F.lower(text_or_empty("target_gene_symbol"))
 
-    def answers(p: Column) -> Column:
+    def answers(p: Column, t: Column) -> Column:
         return (
             ((p["domain"] == "") | (p["domain"] == F.col("evidence_domain")))
             & ((F.size(p["grades"]) == 0) | F.array_contains(p["grades"], F.col("evidence_grade")))
             & ((F.size(p["modalities"]) == 0) | F.array_contains(p["modalities"], F.col("modality")))
-            & ((p["target"] == "") | F.contains(F.col("_target"), p["target"]))
-            & groups_match(F.col("_blob"), p["term_groups"]["synonyms"])
+            & ((p["target"] == "") | F.contains(target, p["target"]))
+            & groups_match(t, p["term_groups"]["synonyms"])
         )
 
-    return match_batch(searched, plans, "question_id", answers, view.columns)
+    return match_batch(view, plans, "question_id", joined_lower(QUESTION_FIELDS), answers, view.columns)
 
 
 def ask_summary(answers: DataFrame) -> DataFrame:

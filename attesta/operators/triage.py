@@ -22,6 +22,7 @@ from attesta.functions.sequence import (
     sequence_from_helm,
 )
 from attesta.functions.text import (
+    CONFIDENCE_RANK,
     GRADE_RANK,
     first_text,
     has_text,
@@ -137,8 +138,8 @@ def _matches(rows: DataFrame, domain: str, plans: DataFrame, keep: list[str], wi
     target = (lambda p: p["target"]) if with_target else (lambda p: F.lit(""))
     batch = plans.select("plan_key", "domain", "variants", "target")
     hits = match_batch(
-        rows, batch, "plan_key",
-        lambda p: (p["domain"] == F.col(domain)) & (match_score(F.col("_text"), p["variants"], target(p)) > 0),
+        rows, batch, "plan_key", F.col("_text"),
+        lambda p, t: (p["domain"] == F.col(domain)) & (match_score(t, p["variants"], target(p)) > 0),
         [*keep, "_text"],
     )
     # The plan table is small (designs x concerns); its columns are joined back for the matches only.
@@ -282,19 +283,19 @@ def sequence_search(designs: DataFrame, view: DataFrame, candidates: DataFrame,
         "design_id", groups(q).alias("groups"), F.lower("target").alias("target"),
         F.when(F.col("target") != "", groups(F.col("target"))).alias("fallback"), F.lower(raw).alias("raw"),
     )
-    rows = view.withColumns({"_blob": field_blob(EVIDENCE_FIELDS), "_target": F.lower(text_or_empty("target_gene_symbol"))})
+    blob, row_target = field_blob(EVIDENCE_FIELDS), F.lower(text_or_empty("target_gene_symbol"))
     keep = ["evidence_domain", "evidence_id"]
     order = [F.desc("evidence_domain"), F.asc("evidence_id")]
     main = match_batch(
-        rows, plans.select("design_id", "groups", "target"), "design_id",
-        lambda p: groups_match(F.col("_blob"), p["groups"]) & ((p["target"] == "") | F.contains(F.col("_target"), p["target"])), keep,
+        view, plans.select("design_id", "groups", "target"), "design_id", blob,
+        lambda p, t: groups_match(t, p["groups"]) & ((p["target"] == "") | F.contains(row_target, p["target"])), keep,
     )
     found = top_per_group(main, ["design_id"], order, limit, rank_col="position")
     again = plans.filter("fallback IS NOT NULL").join(found.select("design_id").distinct(), "design_id", "left_anti")
-    second = match_batch(rows, again.select("design_id", "fallback"), "design_id", lambda p: groups_match(F.col("_blob"), p["fallback"]), keep)
+    second = match_batch(view, again.select("design_id", "fallback"), "design_id", blob, lambda p, t: groups_match(t, p["fallback"]), keep)
     release = found.unionByName(top_per_group(second, ["design_id"], order, limit, rank_col="position"))
-    pool = candidates.withColumns({"_blob": field_blob(LISTED), "_rank": rank_of("confidence_label", {"high_candidate": 0, "medium_candidate": 1}, 2)})
-    gaps = match_batch(pool, plans.select("design_id", "raw"), "design_id", lambda p: F.contains(F.col("_blob"), p["raw"]), ["id", "_rank"])
+    pool = candidates.withColumn("_rank", rank_of("confidence_label", CONFIDENCE_RANK, 2))
+    gaps = match_batch(pool, plans.select("design_id", "raw"), "design_id", field_blob(LISTED), lambda p, t: F.contains(t, p["raw"]), ["id", "_rank"])
     opened = top_per_group(gaps, ["design_id"], [F.asc("_rank"), F.asc("id")], limit, rank_col="position")
     return release.select("design_id", F.lit("release").alias("kind"), F.col("evidence_id").alias("id"), "position").unionByName(
         opened.select("design_id", F.lit("candidate").alias("kind"), "id", "position")

@@ -13,11 +13,11 @@ from attesta.plans.q04_metrics import WEIGHTS, score_sql
 from attesta.plans.registry import query
 from attesta.session import checkpoint_dir
 from attesta.sources import tables as io
-from attesta.sources.adapters import evidence_tables, raw_table
+from attesta.sources.adapters import evidence_tables, raw_table, text_table
 
 
 def _docs(spark, sf_dir):
-    return raw_table(spark, sf_dir, "documents")
+    return text_table(spark, sf_dir, "documents", "doc_id")
 
 
 _CANON = "regexp_replace(translate(upper(text), 'U', 'T'), '[^ACGTN]', '', 'g')"

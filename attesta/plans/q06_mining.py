@@ -9,7 +9,7 @@ from attesta.operators import mining, rules
 from attesta.operators.rules import Label, Reject, Score, any_word, has, lacks
 from attesta.plans.registry import query
 from attesta.rulesets import ATTRIBUTES, anchor_scores
-from attesta.sources.adapters import evidence_tables, raw_table
+from attesta.sources.adapters import evidence_tables, raw_table, text_table
 
 # Test vocabulary: words of the test prose.
 LEXICON = {
@@ -53,14 +53,14 @@ SENT = r"""snt AS (SELECT doc_id, trim(unnest(a)) AS sentence, generate_subscrip
 
 
 def _docs(spark, sf_dir):
-    docs = raw_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_document_id"), "text")
+    docs = text_table(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("source_document_id"), "text")
     titles = evidence_tables(spark, sf_dir)["source_document"].select(F.col("id").alias("source_document_id"), "title")
     return docs.join(titles, "source_document_id")
 
 
 @query("sentences", f"WITH {SENT} SELECT doc_id, position, sentence FROM snt WHERE sentence <> ''")
 def _(spark, sf_dir):
-    return mining.sentences(raw_table(spark, sf_dir, "documents"))
+    return mining.sentences(text_table(spark, sf_dir, "documents", "doc_id"))
 
 
 @query(
@@ -70,7 +70,7 @@ def _(spark, sf_dir):
       SELECT doc_id, count(*) AS n, sum(length(sentence)) AS chars FROM s GROUP BY doc_id""",
 )
 def _(spark, sf_dir):
-    rows = mining.sentences(raw_table(spark, sf_dir, "documents"), cased=True)
+    rows = mining.sentences(text_table(spark, sf_dir, "documents", "doc_id"), cased=True)
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("chars"))
 
 
@@ -84,7 +84,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     terms = LEXICON["toxicity"]
-    return raw_table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents", "doc_id").select(
         "doc_id",
         F.array_join(rules.match_terms("text", terms), ";").alias("substring_terms"),
         F.array_join(rules.match_terms("text", terms, "word"), ";").alias("word_terms"),
@@ -201,7 +201,7 @@ ANCHORS = r"""blk AS (SELECT page_id, html, regexp_extract_all(html, '(?i)<(p|ca
 
 
 def _anchors(spark, sf_dir):
-    return mining.text_anchors(raw_table(spark, sf_dir, "pages"))
+    return mining.text_anchors(text_table(spark, sf_dir, "pages", "page_id"))
 
 
 @query("text_anchors", f"WITH {ANCHORS} SELECT page_id, position, location, text, anchor_hash FROM anc")
@@ -250,7 +250,7 @@ def _(spark, sf_dir):
     anchors = _anchors(spark, sf_dir)
     first = anchors.filter("position = 1").select("page_id", F.col("location").alias("wanted_location"))
     second = anchors.filter("position = 2").select("page_id", F.col("anchor_hash").alias("_h2"))
-    rows = raw_table(spark, sf_dir, "pages").select("page_id").join(first, "page_id", "left").join(second, "page_id", "left")
+    rows = text_table(spark, sf_dir, "pages", "page_id").select("page_id").join(first, "page_id", "left").join(second, "page_id", "left")
     wanted = rows.select(
         F.col("page_id").alias("row_id"), "page_id", F.coalesce("wanted_location", F.lit("")).alias("wanted_location"),
         F.when(F.col("page_id") % 2 == 0, F.coalesce("_h2", F.lit(""))).otherwise("missing").alias("source_anchor_hash"),
@@ -278,7 +278,7 @@ CTX = f"""{SENT}, ctx AS (SELECT s.doc_id AS row_id, position, sentence AS text,
 
 
 def _contexts(spark, sf_dir):
-    docs = raw_table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents", "doc_id")
     titles = evidence_tables(spark, sf_dir)["source_document"].select(F.col("id").alias("doc_id"), "title")
     rows = mining.sentences(docs, keep=("doc_id", "lang")).join(titles, "doc_id")
     return rows.select(
@@ -406,7 +406,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     names = rules.distinct_matches("text", [r"[a-z]+(?:tion|heit|ment)"], ["thtion", "attion"], 3)
-    return raw_table(spark, sf_dir, "documents").select("doc_id", F.array_join(names, "; ").alias("names"))
+    return text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.array_join(names, "; ").alias("names"))
 
 
 _FLAGS = f"""concat_ws('; ', CASE WHEN location = 'Introduction' THEN 'intro_anchor_needs_primary_result' END, CASE WHEN location = 'Discussion' THEN 'discussion_or_conclusion_anchor' END,
@@ -471,7 +471,7 @@ def _(spark, sf_dir):
       ON contains(lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\s+', ' ', 'g'))))""",
 )
 def _(spark, sf_dir):
-    return mining.grounding_join(raw_table(spark, sf_dir, "benchmark"), raw_table(spark, sf_dir, "documents"), "item_id", "doc_id")
+    return mining.grounding_join(raw_table(spark, sf_dir, "benchmark"), text_table(spark, sf_dir, "documents", "doc_id"), "item_id", "doc_id")
 
 
 _PREC = r"""pp AS (SELECT d.doc_id AS row_id, CASE WHEN d.lang = 'en' AND d.text <> '' THEN 'full_text' WHEN coalesce(l.doc_id, -1) >= 0 AND s.title <> '' THEN 'abstract' ELSE 'snippet' END AS passage_kind,
@@ -480,7 +480,7 @@ _PREC = r"""pp AS (SELECT d.doc_id AS row_id, CASE WHEN d.lang = 'en' AND d.text
 
 
 def _passages(spark, sf_dir):
-    docs = raw_table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents", "doc_id")
     titles = evidence_tables(spark, sf_dir)["source_document"].select(F.col("id").alias("row_id"), F.col("title").alias("text"))
     labels = raw_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"))
     rows = docs.select(F.col("doc_id").alias("row_id"), F.concat(F.lit("snippet "), F.col("doc_id").cast("string")).alias("snippet"))
@@ -516,7 +516,7 @@ def _(spark, sf_dir):
 @query("article_anchors")
 def _(spark, sf_dir):
     """Section paths of the pages, rewritten as article XML."""
-    pages = raw_table(spark, sf_dir, "pages")
+    pages = text_table(spark, sf_dir, "pages", "page_id")
     section = F.regexp_replace(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), "[<>&]", " ")
     paragraphs = F.transform(
         F.slice(F.split("html", r"(?i)<p(?:\s[^>]*)?>"), 2, 1000000),

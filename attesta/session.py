@@ -42,6 +42,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a small input that arrives in too few pieces for costly per-row work.
+
+    A large table is read in more pieces than there are task slots and is left alone, so nothing is
+    shuffled there.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a result that several branches read once, and keep it in the shared checkpoint folder.
 
