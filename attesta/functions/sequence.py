@@ -40,7 +40,7 @@ def seed_2_8(seq: ColumnOrName) -> Column:
 def invalid_characters(raw: ColumnOrName) -> Column:
     """Distinct characters outside A C G T U N and blanks, in first-seen order."""
     left = F.regexp_replace(F.upper(text_or_empty(raw)), r"[ACGTUN\s]+", "")
-    return F.when(left == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(left, "(?!^)")))
+    return F.array_distinct(F.regexp_extract_all(left, F.lit("(?s)."), F.lit(0)))
 
 
 def has_ambiguous(seq: ColumnOrName) -> Column:

@@ -129,20 +129,28 @@ MAX_BATCH = 1000  # queries held in one array value; larger batches are cut by h
 
 
 def match_batch(
-    rows: DataFrame, plans: DataFrame, key: str, text: Column, condition: Callable[[Column, Column], Column], row_columns: list[str]
-) -> DataFrame:
-    """(key, row columns) for every plan a row satisfies; `condition` gets the plan and the row's search text.
+    rows: DataFrame,
+    plans: DataFrame,
+    key: str,
+    text: Column,
+    condition: Callable[[Column, Column], Column],
+    row_columns: list[str],
+    result: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
+    """The row columns of every row and plan for which `condition(plan, row text)` holds.
 
-    The plans of a batch become one array value, so the rows are scanned once, without a join or a
-    shuffle; only true matches leave the scan. Batches above MAX_BATCH plans are cut by key hash.
+    The output has the plan's `key`, or the fields of the struct `result(plan, row text)`. The plans of a
+    batch become one array value, so the rows are scanned once, without a join or a shuffle; only true
+    matches leave the scan. Batches above MAX_BATCH plans are cut by key hash.
     """
+    output = result or (lambda p, t: F.struct(p[key].alias(key)))
     parts = max(1, -(-plans.count() // MAX_BATCH))
     results = []
     for part in range(parts):
         chunk = plans if parts == 1 else plans.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
         batch = chunk.agg(F.collect_list(F.struct(*plans.columns))).scalar()
-        hits = F.transform(let(text, lambda t: F.filter("_batch", lambda p: condition(p, t))), lambda p: p[key])
-        results.append(rows.withColumn("_batch", batch).select(F.explode(hits).alias(key), *row_columns))
+        hits = let(text, lambda t: F.transform(F.filter("_batch", lambda p: condition(p, t)), lambda p: output(p, t)))
+        results.append(rows.withColumn("_batch", batch).select(F.inline(hits), *row_columns))
     return reduce(DataFrame.unionByName, results)
 
 

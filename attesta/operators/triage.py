@@ -26,6 +26,7 @@ from attesta.functions.text import (
     GRADE_RANK,
     first_text,
     has_text,
+    let,
     node_id,
     rank_of,
     report_id,
@@ -133,25 +134,31 @@ def triage_plans(
     )
 
 
-def _matches(rows: DataFrame, domain: str, plans: DataFrame, keep: list[str], with_target: bool) -> DataFrame:
-    """(design, concern, row) with score > 0; rows are scanned once for all plans."""
-    target = (lambda p: p["target"]) if with_target else (lambda p: F.lit(""))
-    batch = plans.select("plan_key", "domain", "variants", "target")
+def _matches(rows: DataFrame, fields: list[str], plans: DataFrame, keep: list[str], with_target: bool) -> DataFrame:
+    """(design, concern, row) with score > 0: rows are scanned once for all plans, only scores and keys leave."""
+    batch = plans.select("plan_key", "design_id", "concern_id", "domain", "variants", "target")
+
+    def target(p: Column) -> Column:
+        return p["target"] if with_target else F.lit("")
+
+    def scored(p: Column, t: Column) -> Column:
+        on_target = (target(p) != "") & F.contains(t, target(p))
+
+        def parts(m: Column) -> Column:
+            shown = F.when(on_target & ~F.array_contains(m, target(p)), F.concat(m, F.array(target(p)))).otherwise(m)
+            return F.struct(
+                p["design_id"].alias("design_id"),
+                p["concern_id"].alias("concern_id"),
+                (F.size(m) + F.when(on_target, F.lit(3)).otherwise(F.lit(0))).alias("match_score"),
+                F.array_join(F.slice(shown, 1, 8), ", ").alias("matched_terms_shown"),
+            )
+
+        return let(matched_variants(t, p["variants"]), parts)
+
     hits = match_batch(
-        rows, batch, "plan_key", F.col("_text"),
-        lambda p, t: (p["domain"] == F.col(domain)) & (match_score(t, p["variants"], target(p)) > 0),
-        [*keep, "_text"],
-    )
-    # The plan table is small (designs x concerns); its columns are joined back for the matches only.
-    scored = hits.join(plans, "plan_key")
-    score = match_score(F.col("_text"), F.col("variants"), F.col("target") if with_target else F.lit(""))
-    shown = matched_variants(F.col("_text"), F.col("variants"))
-    if with_target:
-        extra = (F.col("target") != "") & F.contains(F.col("_text"), F.col("target")) & ~F.array_contains(shown, F.col("target"))
-        shown = F.when(extra, F.concat(shown, F.array(F.col("target")))).otherwise(shown)
-    return scored.select(
-        "design_id", "concern_id", *keep, score.alias("match_score"), F.array_join(F.slice(shown, 1, 8), ", ").alias("matched_terms_shown")
+        rows, batch, "plan_key", row_text(fields), lambda p, t: p["domain"] == F.col("evidence_domain"), keep, result=scored
     )
+    return hits.filter("match_score > 0")
 
 
 def concern_matches(plans: DataFrame, view: DataFrame, candidates: DataFrame, limit: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -160,20 +167,20 @@ def concern_matches(plans: DataFrame, view: DataFrame, candidates: DataFrame, li
     Release rows: score, grade, record. Candidates: score, then low confidence first, then id.
     """
     record = F.concat_ws(":", "evidence_domain", F.col("evidence_id").cast("string"))
-    keep = ["record", "entity_table", "evidence_id", "evidence_domain", "evidence_grade", "canonical_name", "evidence_label", "pmid", "doi", "source_title", "source_url"]
-    rows = view.withColumns({"record": record, "_text": row_text(RELEASE_FIELDS)})
+    keep = "record entity_table evidence_id evidence_domain evidence_grade canonical_name evidence_label pmid doi source_title source_url".split()
+    rows = view.withColumn("record", record)
     group = ["design_id", "concern_id"]
     release = top_per_group(
-        _matches(rows, "evidence_domain", plans, keep, True),
+        _matches(rows, RELEASE_FIELDS, plans, keep, True),
         group,
         [F.desc("match_score"), F.desc(rank_of("evidence_grade", GRADE_RANK, 0)), F.asc("record")],
         limit,
         rank_col="rank",
     )
-    pool = candidates.filter(text_or_empty("curator_decision") != "accept").withColumn("_text", row_text(CANDIDATE_FIELDS))
+    pool = candidates.filter(text_or_empty("curator_decision") != "accept")
     open_keep = ["id", "evidence_domain", "confidence_label", "matched_terms", "source_location", "pmid"]
     gaps = top_per_group(
-        _matches(pool, "evidence_domain", plans, open_keep, False),
+        _matches(pool, CANDIDATE_FIELDS, plans, open_keep, False),
         group,
         [F.desc("match_score"), F.asc(rank_of("confidence_label", CONFIDENCE_VALUE, 0)), F.asc("id")],
         limit,

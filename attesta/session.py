@@ -26,6 +26,7 @@ def build_session(app: str = "attesta", master: str | None = None, shuffle_parti
         builder = (
             builder.master(master)
             .config("spark.ui.enabled", "false")
+            .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
             .config("spark.driver.memory", "12g")
             .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
         )
