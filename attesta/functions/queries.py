@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.functions.text import ColumnOrName, as_col, contains_ci, distinct_by, text_or_empty
+from attesta.functions.text import ColumnOrName, as_col, distinct_by, let, text_or_empty
 from attesta.lexicons import SEARCH_STOPWORDS, SEARCH_SYNONYMS
 
 TOKEN = r"[a-z0-9']+"  # fixed value: what a search token is
@@ -63,10 +63,6 @@ def parse_terms(
     return list(groups.values())[:maximum]
 
 
-def any_field_contains(fields: list[str], needle: str) -> Column:
-    return reduce(lambda a, b: a | b, [contains_ci(f, needle) for f in fields])
-
-
 def search_condition(
     fields: list[str],
     text: str,
@@ -74,13 +70,15 @@ def search_condition(
     stopwords: list[str] = SEARCH_STOPWORDS,
 ) -> Column:
     """AND over term groups of OR over fields and spellings; the raw text when no group survives."""
-    groups = parse_terms(text, synonyms, stopwords)
-    if not groups:
-        return any_field_contains(fields, text)
-    return reduce(
-        lambda a, b: a & b,
-        [reduce(lambda a, b: a | b, [any_field_contains(fields, s) for s in group]) for group in groups],
-    )
+    groups = parse_terms(text, synonyms, stopwords) or [[text]]
+
+    def matches(blob: Column) -> Column:
+        def any_spelling(group: list[str]) -> Column:
+            return reduce(lambda a, b: a | b, [F.contains(blob, F.lit(s.lower())) for s in group])
+
+        return reduce(lambda a, b: a & b, [any_spelling(g) for g in groups])
+
+    return let(field_blob(fields), matches)
 
 
 # A character no search term can hold: fields joined by it are searched as separate fields.
@@ -91,6 +89,10 @@ def field_blob(fields: list[str]) -> Column:
     return F.lower(F.concat_ws(FIELD_BREAK, *[text_or_empty(f) for f in fields]))
 
 
+def any_field_contains(fields: list[str], needle: str) -> Column:
+    return F.contains(field_blob(fields), F.lit(needle.lower()))
+
+
 def groups_match(blob: Column, groups: Column) -> Column:
     """Every group has a (lower-case) spelling contained in the row text."""
     return F.forall(groups, lambda g: F.exists(g, lambda s: F.contains(blob, s)))

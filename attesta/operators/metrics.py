@@ -133,9 +133,16 @@ def baseline_eval(rows: DataFrame, priors: dict[str, str] = PRIORS, label: str =
         F.sum("_n").alias("train_rows"),
         F.count("*").alias("train_label_count"),
     )
-    overall = trained.filter(F.col("baseline_model") == MAJORITY).select(
-        "task_name", "train_rows", "train_label_count", F.col("_best._label").alias("majority_label"),
-        (-F.col("_best.n")).alias("_majority_rows"),
+    # Picked by a conditional maximum, not a filter: the training aggregate stays one shared subplan.
+    whole = F.struct("train_rows", "train_label_count", "_best")
+    overall = (
+        trained.groupBy("task_name")
+        .agg(F.max(F.when(F.col("baseline_model") == MAJORITY, whole)).alias("_w"))
+        .filter("_w IS NOT NULL")
+        .select(
+            "task_name", "_w.train_rows", "_w.train_label_count", F.col("_w._best._label").alias("majority_label"),
+            (-F.col("_w._best.n")).alias("_majority_rows"),
+        )
     )
     by = ["task_name", "split_name", "baseline_model"]
     confusion = (

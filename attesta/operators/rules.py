@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.text import ColumnOrName, as_col, distinct_by, text_or_empty
+from attesta.functions.text import ColumnOrName, as_col, distinct_by, let, text_or_empty
 
 
 def any_word(words: Sequence[str]) -> str:
@@ -52,10 +52,12 @@ def term_count(field: ColumnOrName, terms: Sequence[str], match: str = "substrin
 
 def match_terms(field: ColumnOrName, terms: Sequence[str], match: str = "substring") -> Column:
     """Terms that occur in the text, in lexicon order, as an array."""
-    low = F.lower(text_or_empty(field))
     if not terms:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(term_found(low, t, match), F.lit(t)) for t in terms]))
+    return let(
+        F.lower(text_or_empty(field)),
+        lambda low: F.array_compact(F.array(*[F.when(term_found(low, t, match), F.lit(t)) for t in terms])),
+    )
 
 
 @dataclass(frozen=True)

@@ -143,7 +143,11 @@ def match_batch(
     batch become one array value, so the rows are scanned once, without a join or a shuffle; only true
     matches leave the scan. Batches above MAX_BATCH plans are cut by key hash.
     """
-    output = result or (lambda p, t: F.struct(p[key].alias(key)))
+    if result is None:
+        # Plans that ask for the same thing are matched once, and their keys are put back afterwards.
+        same = [c for c in plans.columns if c != key]
+        plans = plans.groupBy(*same).agg(F.sort_array(F.collect_list(key)).alias(key))
+    output = result or (lambda p, t: F.struct(p[key].alias("_keys")))
     parts = max(1, -(-plans.count() // MAX_BATCH))
     results = []
     for part in range(parts):
@@ -151,7 +155,8 @@ def match_batch(
         batch = chunk.agg(F.collect_list(F.struct(*plans.columns))).scalar()
         hits = let(text, lambda t: F.transform(F.filter("_batch", lambda p: condition(p, t)), lambda p: output(p, t)))
         results.append(rows.withColumn("_batch", batch).select(F.inline(hits), *row_columns))
-    return reduce(DataFrame.unionByName, results)
+    matched = reduce(DataFrame.unionByName, results)
+    return matched if result else matched.select(F.explode("_keys").alias(key), *row_columns)
 
 
 def synonym_search(

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from attesta.functions.text import (
     any_has_text,
     any_nonblank,
-    contains_any,
     first_text,
     has_text,
     joined_lower,
+    let,
     nonblank,
     percent,
     text_or_empty,
@@ -324,11 +324,14 @@ CLASS_RELEASE_FIELDS = (
 
 def labels_in_text(text: Column, terms: list[Term]) -> Column:
     """Keys of all terms with a synonym in the (already lower-cased) text."""
-    hits = [
-        F.when(reduce(lambda a, b: a | b, [F.contains(text, F.lit(s.lower())) for s in t.synonyms]), F.lit(t.key))
-        for t in terms
-    ]
-    return F.array_compact(F.array(*hits))
+
+    def keys(low: Column) -> Column:
+        def hit(t: Term) -> Column:
+            return reduce(lambda a, b: a | b, [F.contains(low, F.lit(s.lower())) for s in t.synonyms])
+
+        return F.array_compact(F.array(*[F.when(hit(t), F.lit(t.key)) for t in terms]))
+
+    return let(text, keys)
 
 
 def in_benchmark(view: DataFrame, splits: DataFrame) -> DataFrame:
@@ -383,10 +386,15 @@ def modification_examples(view: DataFrame, terms: list[Term] = MODIFICATIONS, n:
 
 def offtarget_class(text: Column, classes: list[Term] = OFFTARGET_CLASSES) -> Column:
     """Key of the first class with a synonym in the text; the last class is the fallback."""
-    out = F.lit(classes[-1].key)
-    for c in reversed(classes):
-        out = F.when(contains_any(text, list(c.synonyms)), F.lit(c.key)).otherwise(out)
-    return out
+
+    def first(low: Column) -> Column:
+        out = F.lit(classes[-1].key)
+        for c in reversed(classes):
+            hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(s.lower())) for s in c.synonyms])
+            out = F.when(hit, F.lit(c.key)).otherwise(out)
+        return out
+
+    return let(F.lower(text), first)
 
 
 def offtarget_taxonomy(view: DataFrame, candidates: DataFrame, splits: DataFrame, classes: list[Term] = OFFTARGET_CLASSES) -> DataFrame:
