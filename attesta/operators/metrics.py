@@ -147,9 +147,12 @@ def baseline_eval(rows: DataFrame, priors: dict[str, str] = PRIORS, label: str =
     by = ["task_name", "split_name", "baseline_model"]
     confusion = (
         known.filter(F.col("split_name").isin("validation", "test"))
+        # Counted before the join: a group value shared by very many rows meets its prior once.
+        .groupBy(*by, "_group", "_label")
+        .agg(F.count("*").alias("_n"))
         .join(trained.select(*key, F.col("_best._label").alias("_prior")), key, "left")
         .groupBy(*by, "_label", "_prior")
-        .agg(F.count("*").alias("_n"))
+        .agg(F.sum("_n").alias("_n"))
         .join(overall, "task_name")
         .withColumn("_pred", F.coalesce("_prior", "majority_label"))
     )

@@ -143,11 +143,14 @@ def match_batch(
     batch become one array value, so the rows are scanned once, without a join or a shuffle; only true
     matches leave the scan. Batches above MAX_BATCH plans are cut by key hash.
     """
+    keys = None
     if result is None:
-        # Plans that ask for the same thing are matched once, and their keys are put back afterwards.
+        # Plans that ask for the same thing are matched once; their keys are joined back to the matches.
         same = [c for c in plans.columns if c != key]
-        plans = plans.groupBy(*same).agg(F.sort_array(F.collect_list(key)).alias(key))
-    output = result or (lambda p, t: F.struct(p[key].alias("_keys")))
+        signed = plans.withColumn("_sig", F.sha2(F.to_json(F.struct(*same)), 256))
+        keys, key = signed.select(key, "_sig"), "_sig"
+        plans = signed.select("_sig", *same).distinct()
+    output = result or (lambda p, t: F.struct(p["_sig"].alias("_sig")))
     parts = max(1, -(-plans.count() // MAX_BATCH))
     results = []
     for part in range(parts):
@@ -156,7 +159,7 @@ def match_batch(
         hits = let(text, lambda t: F.transform(F.filter("_batch", lambda p: condition(p, t)), lambda p: output(p, t)))
         results.append(rows.withColumn("_batch", batch).select(F.inline(hits), *row_columns))
     matched = reduce(DataFrame.unionByName, results)
-    return matched if result else matched.select(F.explode("_keys").alias(key), *row_columns)
+    return matched if keys is None else matched.join(keys, "_sig").select(keys.columns[0], *row_columns)
 
 
 def synonym_search(

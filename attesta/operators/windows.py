@@ -178,11 +178,30 @@ def best_by_score(df: DataFrame, key: str, score: str, n: int, arrival: str) ->
 
 
 def passage_window(anchors: DataFrame, doc: str = "page_id", position: str = "position", text: str = "text") -> DataFrame:
-    """Previous, own and next passage of a document as one text."""
-    w = Window.partitionBy(doc).orderBy(position)
-    return anchors.withColumn(
-        "window_text", F.concat_ws(" ", F.lag(text).over(w), F.col(text), F.lead(text).over(w))
+    """Previous, own and next passage of a document as one text; positions are consecutive.
+
+    Every passage is sent to its own place and to both neighbours, and the places are put together by
+    (document, position). So a document with very many passages is spread over all tasks, which a window
+    over the document would not do.
+    """
+    own = F.struct(*[c for c in anchors.columns if c not in (doc, position)])
+    nothing = F.lit(None)
+
+    def part(shift: int, row: Column, before: Column, after: Column) -> Column:
+        return F.struct((F.col(position) + shift).alias("_at"), row.alias("_row"), before.alias("_before"), after.alias("_after"))
+
+    parts = F.array(
+        part(0, own, nothing.cast("string"), nothing.cast("string")),
+        part(1, F.when(F.lit(False), own), F.col(text), nothing.cast("string")),
+        part(-1, F.when(F.lit(False), own), nothing.cast("string"), F.col(text)),
+    )
+    placed = anchors.select(doc, F.inline(parts)).groupBy(doc, "_at").agg(
+        F.first("_row", ignorenulls=True).alias("_row"),
+        F.first("_before", ignorenulls=True).alias("_before"),
+        F.first("_after", ignorenulls=True).alias("_after"),
     )
+    rows = placed.filter("_row IS NOT NULL").select(doc, F.col("_at").alias(position), "_row.*", "_before", "_after")
+    return rows.withColumn("window_text", F.concat_ws(" ", "_before", F.col(text), "_after")).drop("_before", "_after")
 
 
 def grade_rank(c: ColumnOrName = "evidence_grade") -> Column:

@@ -86,7 +86,7 @@ def _(spark, sf_dir):
 
 @query(
     "synonym_search",
-    f"""WITH q AS (SELECT DISTINCT p_name || ' ' || r_name AS query_id FROM part JOIN region ON true),
+    f"""WITH q AS (SELECT DISTINCT m.canonical_name || ' ' || mo.name AS query_id FROM molecule m JOIN modality mo ON mo.id = m.modality_id),
       {_terms_sql("query_id", "q", "query_id")},
       rows AS (SELECT entity_table, evidence_id, {blob(search.EVIDENCE_FIELDS)} AS b FROM release_view),
       need AS (SELECT k, g, unnest(string_split(spellings, '|')) AS s FROM gr8),
@@ -96,10 +96,8 @@ def _(spark, sf_dir):
       SELECT hit.k AS query_id, count(*) AS hits FROM hit JOIN n ON n.k = hit.k WHERE found = groups GROUP BY hit.k""",
 )
 def _(spark, sf_dir):
-    names = raw_table(spark, sf_dir, "part").select("p_name").distinct()
-    regions = [r.name for r in evidence_tables(spark, sf_dir)["modality"].select("name").distinct().collect()]
-    text = F.explode(F.array(*[F.concat(F.col("p_name"), F.lit(f" {r}")) for r in regions]))
-    queries = names.select(text.alias("q")).distinct().select(F.col("q").alias("query_id"), "q")
+    molecules = search.molecules_with_modality(evidence_tables(spark, sf_dir))
+    queries = molecules.select(F.concat_ws(" ", "canonical_name", "modality").alias("q")).distinct().select(F.col("q").alias("query_id"), "q")
     hits = search.synonym_search(
         _view(spark, sf_dir), search.EVIDENCE_FIELDS, queries, ["entity_table", "evidence_id"], SYNONYMS, STOP
     )
