@@ -246,7 +246,10 @@ def _(spark, sf_dir):
     return redact.leak_scan(published, ["thtion"])
 
 
-@query("sensitive_columns")
+@query(
+    "sensitive_columns",
+    "SELECT 'curation_audit' AS table_name, 'audit_note' AS column_name, count(*) FILTER (audit_note <> '') AS filled FROM curation_audit",
+)
 def _(spark, sf_dir):
     tables = evidence_tables(spark, sf_dir)
     names = ["source_document", "molecule", "curation_audit", "curation_candidate"]

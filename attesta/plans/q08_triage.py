@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.lexicons import Concern
 from attesta.operators import release, stats, triage
+from attesta.operators.search import EVIDENCE_FIELDS
 from attesta.plans.q03_search import STOP, SYNONYMS
 from attesta.plans.registry import query
 from attesta.sources.adapters import evidence_tables
@@ -184,7 +185,22 @@ def _(spark, sf_dir):
     return sheet.select("design_id", "report_id", "supported_concerns", "nodes", "edges", "verified_release_nodes", "source_nodes", "candidate_gap_nodes")
 
 
-@query("sequence_search")
+def _blob(cols: str) -> str:
+    return "lower(concat_ws(chr(1), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols.split()) + "))"
+
+
+@query(
+    "sequence_search",
+    f"""WITH d AS (SELECT disease_context AS design_id, lower(coalesce(min(nullif(backbone_chemistry, '')), '')) AS m FROM molecule GROUP BY disease_context),
+      r AS (SELECT evidence_domain, evidence_id, {_blob(" ".join(EVIDENCE_FIELDS))} AS b FROM release_view),
+      h AS (SELECT design_id, evidence_domain, evidence_id FROM d JOIN r ON CASE WHEN m = 'small' THEN contains(b, 'small') OR contains(b, 'tiny') WHEN m <> '' THEN contains(b, m)
+        ELSE contains(b, 'seed') AND contains(b, 'offtarget') AND contains(b, 'hybridization') END),
+      c AS (SELECT c.id, CASE confidence_label WHEN 'high_candidate' THEN 0 WHEN 'medium_candidate' THEN 1 ELSE 2 END AS k, {_blob("candidate_signal matched_terms c.pmid s.title")} AS b
+        FROM curation_candidate c JOIN source_document s ON s.id = c.source_document_id),
+      g AS (SELECT design_id, id, k FROM d JOIN c ON contains(b, CASE WHEN m <> '' THEN m ELSE 'seed off-target hybridization' END))
+      SELECT * FROM (SELECT design_id, 'release' AS kind, evidence_id AS id, row_number() OVER (PARTITION BY design_id ORDER BY evidence_domain DESC, evidence_id) AS position FROM h) WHERE position <= 25
+      UNION ALL SELECT * FROM (SELECT design_id, 'candidate', id, row_number() OVER (PARTITION BY design_id ORDER BY k, id) AS position FROM g) WHERE position <= 25""",
+)
 def _(spark, sf_dir):
     tables = evidence_tables(spark, sf_dir)
     designs = _designs(tables).withColumn("target", F.lit("")).withColumn("endpoint", F.lit("")).withColumn("sequence", F.lit(""))
