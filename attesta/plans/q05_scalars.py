@@ -436,3 +436,37 @@ def _(spark, sf_dir):
 
     path = f"{checkpoint_dir(spark)}/protocol_snapshot-{uuid.uuid4().hex}"
     return io.protocol_snapshot(spark, stats.protocol_counts(evidence_tables(spark, sf_dir)), path)
+
+
+def _export_dir(spark) -> str:
+    import uuid
+
+    return f"{checkpoint_dir(spark)}/exports-{uuid.uuid4().hex}"
+
+
+@query(
+    "refresh_exports",
+    """SELECT 'curation_candidate' AS table_name, 'csv' AS form, count(*) AS n FROM curation_candidate
+      UNION ALL SELECT 'curation_candidate', 'json', count(*) FROM curation_candidate
+      UNION ALL SELECT 'source_manifest', 'csv', count(*) FROM source_document""",
+)
+def _(spark, sf_dir):
+    from attesta.operators.joins import union_all
+
+    tables, out = evidence_tables(spark, sf_dir), _export_dir(spark)
+    io.refresh_exports(tables, out, ["curation_candidate"])
+    schema = tables["curation_candidate"].schema
+    forms = [
+        ("curation_candidate", "csv", io.read_csv(spark, f"{out}/curation_candidate_csv", schema)),
+        ("curation_candidate", "json", io.read_jsonl(spark, f"{out}/curation_candidate_json", schema)),
+        ("source_manifest", "csv", spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{out}/source_manifest_csv")),
+    ]
+    return union_all(*[df.agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), F.lit(f).alias("form"), "n") for t, f, df in forms])
+
+
+@query("read_jsonl", "SELECT id, pmid, evidence_domain, matched_terms, confidence_label FROM curation_candidate")
+def _(spark, sf_dir):
+    candidates = evidence_tables(spark, sf_dir)["curation_candidate"]
+    out = _export_dir(spark)
+    candidates.write.json(f"{out}/candidates")
+    return io.read_jsonl(spark, f"{out}/candidates", candidates.schema).select("id", "pmid", "evidence_domain", "matched_terms", "confidence_label")

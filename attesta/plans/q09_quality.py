@@ -32,7 +32,7 @@ def _dq_sql() -> str:
         "SELECT 'forbidden_modality_in_scope', count(*) FROM modality WHERE contains(lower(name), 'crispr') AND in_core_scope = 1",
         "SELECT 'forbidden_modality_molecules', count(*) FROM molecule m JOIN modality mo ON mo.id = m.modality_id WHERE contains(lower(mo.name), 'crispr')",
         "SELECT 'unproven_accept', count(*) FROM curation_audit WHERE validation_status IN ('needs_full_text_check', 'unverified', 'curator_verified_abstract_level') AND curator_decision = 'accept'",
-        "SELECT 'disabled_script', count(*) FROM curation_audit WHERE extractor_model_or_script = 'build_curator_batch1.py' OR contains(lower(extraction_method), 'curator_batch1')",
+        "SELECT 'disabled_script', count(*) FROM curation_audit WHERE contains(lower(extractor_model_or_script), 'curator_batch1') OR contains(lower(extraction_method), 'curator_batch1')",
     ]
     parts += [
         f"SELECT 'orphan:{c}.{k}', count(*) FROM {c} c WHERE c.{k} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} p WHERE p.id = c.{k})" for c, k, p in quality.FOREIGN_KEYS
