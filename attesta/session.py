@@ -33,14 +33,20 @@ def build_session(app: str = "attesta", master: str | None = None, shuffle_parti
     return builder.getOrCreate()
 
 
+def name_local_folder(spark: SparkSession) -> None:
+    """Give a local session that names no shared folder one of its own; a cluster must name a shared one itself."""
+    if spark.sparkContext.getCheckpointDir() is None and spark.sparkContext.master.split("[")[0] == "local":
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a private one is set only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """The folder that driver and executors share, as the session names it; without it nothing is kept."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
-    return named
+    return named.rstrip("/")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
