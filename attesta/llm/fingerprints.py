@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from attesta.llm import columns, tables
 
-WIDTH = 10
+WIDTH = 6
 FRACTION = 1 / 64
 FLOOR = 64
 BITS = 40

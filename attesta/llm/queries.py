@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import fingerprints, mixture, quality, topk
+from attesta.llm import archives, fingerprints, mixture, quality, topk
 from attesta.llm.tables import read
 
 
@@ -19,6 +19,10 @@ def op7_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors)
 
 
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.read_archives(spark, archives.write_archives(archives.legacy_archives(read(spark, sf_dir, "pages"))))
+
+
 def op9_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,8 +34,9 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op7_max_score": op7_max_score,
+    "op8_arc_to_warc": op8_arc_to_warc,
     "op9_fair_queueing": op9_fair_queueing,
     "op10_importance_resampling": op10_importance_resampling,
 }
 
-CHECKS: dict[str, str] = {"op7_max_score": topk.SQL, "op9_fair_queueing": mixture.SQL}
+CHECKS: dict[str, str] = {"op7_max_score": topk.SQL, "op8_arc_to_warc": archives.SQL, "op9_fair_queueing": mixture.SQL}
