@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import archives, fingerprints, mixture, quality, topk
+from attesta.llm import archives, bpe, fingerprints, mixture, quality, topk
 from attesta.llm.tables import read
 
 
@@ -14,6 +15,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
 
 
+def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digests(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ["doc_id"])
+
+
 def op7_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(read(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors)
@@ -33,6 +39,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op6_bpe_transducer": op6_bpe_transducer,
     "op7_max_score": op7_max_score,
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_fair_queueing": op9_fair_queueing,
