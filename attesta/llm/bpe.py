@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.llm import columns
 
@@ -342,7 +343,7 @@ def encode(docs: DataFrame, ranks, pattern: str, ids: str = "ids") -> DataFrame:
             out = pa.array([own.encode(t) if t else b"" for t in block.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*block.columns, out], [*names, ids])
 
-    return docs.mapInArrow(each, docs.schema.add(ids, "binary"))
+    return docs.mapInArrow(each, T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType())]))
 
 
 def decode(encoded: DataFrame, ranks, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -355,7 +356,7 @@ def decode(encoded: DataFrame, ranks, pattern: str, ids: str = "ids", text: str
             out = pa.array([own.decode(i) if i else "" for i in block.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*block.columns, out], [*names, text])
 
-    return encoded.mapInArrow(each, encoded.schema.add(text, "string"))
+    return encoded.mapInArrow(each, T.StructType([*encoded.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def digests(docs: DataFrame, ranks, pattern: str, keep: list[str]) -> DataFrame:
