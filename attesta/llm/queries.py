@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import archives, bpe, fingerprints, mixture, pii, quality, topk
+from attesta.llm import archives, bpe, fingerprints, mixture, neardup, pii, quality, topk
 from attesta.llm.tables import read
 
 
@@ -19,6 +19,10 @@ def op4_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents"))
+
+
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.digests(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ["doc_id"])
@@ -44,6 +48,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op4_pii_contexts": op4_pii_contexts,
+    "op5_setsketch": op5_setsketch,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op7_max_score": op7_max_score,
     "op8_arc_to_warc": op8_arc_to_warc,
