@@ -16,6 +16,7 @@ import base64
 import re
 import sys
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 from struct import pack
 
 import pyarrow as pa
@@ -27,9 +28,9 @@ from pyspark.sql import types as T
 from attesta.llm import columns
 
 #: Kept moves, pairs and pieces of a worker process at most; beyond it they are made anew when next met.
-KEPT_MOVES = 400_000
-KEPT_PAIRS = 500_000
-KEPT_PIECES = 300_000
+KEPT_MOVES = 200_000
+KEPT_PAIRS = 300_000
+KEPT_PIECES = 130_000
 
 _DOUBLE_SPACE = re.compile(r"\s\s|\A\s|\s\Z|\0")
 
@@ -300,11 +301,17 @@ class StreamDecoder:
 
 class Codec:
     def __init__(self, content: bytes, pattern: str):
-        transducer = Transducer(read_ranks(content))
+        self.ranks = read_ranks(content)
         self.split = regex.compile(pattern).findall
         self.stretches = "\\s" in pattern and " ?" in pattern  # a lone space or line feed then opens a piece
-        self.pieces = Pieces(transducer, self.split)
-        self.decoder = StreamDecoder(transducer.tokens)
+
+    @cached_property
+    def pieces(self) -> Pieces:
+        return Pieces(Transducer(self.ranks), self.split)
+
+    @cached_property
+    def decoder(self) -> StreamDecoder:
+        return StreamDecoder({rank: token for token, rank in self.ranks.items()})
 
     def encode(self, text: str) -> bytes:
         pieces = self.pieces
