@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import archives, bpe, fingerprints, mixture, neardup, pii, quality, topk
+from attesta.llm import archives, bpe, fingerprints, mixture, neardup, pii, quality, topk, training_order
 from attesta.llm.tables import read
 
 
@@ -15,6 +15,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
 
 
+def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = training_order.write_shards(training_order.byte_tokens(read(spark, sf_dir, "documents")))
+    return training_order.described(training_order.read_shards(spark, place))
+
+
 def op4_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_feistel_shards": op2_feistel_shards,
     "op4_pii_contexts": op4_pii_contexts,
     "op5_setsketch": op5_setsketch,
     "op6_bpe_transducer": op6_bpe_transducer,
