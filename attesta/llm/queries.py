@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import archives, bpe, fingerprints, mixture, neardup, pii, quality, topk, training_order
+from attesta.llm import archives, bpe, fingerprints, mixture, neardup, pii, quality, repeats, topk, training_order
 from attesta.llm.tables import read
 
 
@@ -20,6 +20,10 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.described(training_order.read_shards(spark, place))
 
 
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(read(spark, sf_dir, "documents"))
+
+
 def op4_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_feistel_shards": op2_feistel_shards,
+    "op3_recompression": op3_recompression,
     "op4_pii_contexts": op4_pii_contexts,
     "op5_setsketch": op5_setsketch,
     "op6_bpe_transducer": op6_bpe_transducer,
