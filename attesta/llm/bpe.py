@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm import columns
+from attesta.llm import columns, tables
 
 #: Kept moves, pairs and pieces of a worker process at most; beyond it they are made anew when next met.
 KEPT_MOVES = 200_000
@@ -367,10 +367,15 @@ def decode(encoded: DataFrame, ranks, pattern: str, ids: str = "ids", text: str
 
 
 def digests(docs: DataFrame, ranks, pattern: str, keep: list[str]) -> DataFrame:
-    """`keep`, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded again."""
-    done = decode(encode(docs.select(*keep, *([] if "text" in keep else ["text"])), ranks, pattern, "_ids").drop(*([] if "text" in keep else ["text"])), ranks, pattern, "_ids", "_decoded")
+    """`keep`, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded again; kept columns of these names are replaced."""
+    made = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    names = [c for c in keep if c not in made]
+    kept = docs.select(*names)
+    packed = tables.pack(docs.select(*dict.fromkeys([*names, "text"])), ["text"])
+    encoded = encode(packed, ranks, pattern, "_ids")
+    done = decode(encoded if "text" in keep else encoded.drop("text"), ranks, pattern, "_ids", "_decoded")
     return done.select(
-        *keep,
+        *tables.unpack(done, kept),
         (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("_ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("_decoded", "UTF-8"), 256).alias("decoded_sha256"),

@@ -98,9 +98,10 @@ def apply(docs: DataFrame) -> DataFrame:
 
     Documents with the same doc_id are one queue entry each; they are told apart by their number of copies.
     """
-    taken = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"]), "inner").drop(taken["doc_id"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
+    taken = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).withColumnRenamed("doc_id", "_taken")
+    packed = tables.pack(docs, ["doc_id"])
+    joined = packed.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken")), "inner")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*tables.unpack(packed, docs))
 
 
 SQL = f"""

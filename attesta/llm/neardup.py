@@ -193,4 +193,4 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows that stay: one document of each component, with all columns of `docs`."""
     dropped = classes(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")

@@ -224,7 +224,8 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns of `docs`; personal data in `text` replaced by its kind, `n_chars` set anew."""
-    names = docs.columns
+    packed = tables.pack(docs, ["doc_id", "text", "n_chars"])
+    names = packed.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in columns.blocks(batches, "text", 4 << 20):
@@ -235,4 +236,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], out["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(out.values()), names)
 
-    return find(docs, names).select(*names, "_all").mapInArrow(each, docs.schema)
+    return find(packed, names).select(*names, "_all").mapInArrow(each, packed.schema).select(*tables.unpack(packed, docs))

@@ -169,9 +169,7 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int = LABEL_LIMIT) -> tu
 def apply(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The accepted documents with all their columns: every text is scored where it lies, and nothing is joined or shuffled."""
     _, model, cut = classify(docs, labels)
-    carried = docs.columns
-    names = iter(f"_quality_{i}" for i in range(len(carried) + 2))
-    free = [n for n in names if n not in carried][:2]
-    scored = mean_ratios(docs, model.log_ratio, carried, free[0], free[1])
-    key = gumbel_key(log_weight(F.col(free[0]), model.level), F.col("doc_id"))
-    return scored.where(key >= F.lit(cut)).drop(*free)
+    packed = tables.pack(docs, ["doc_id", "text"])
+    scored = mean_ratios(packed, model.log_ratio, packed.columns)
+    key = gumbel_key(log_weight(F.col("mean_ratio"), model.level), F.col("doc_id"))
+    return scored.where(key >= F.lit(cut)).select(*tables.unpack(packed, docs))

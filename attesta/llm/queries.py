@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_fair_queueing": op9_fair_queueing,
     "op10_importance_resampling": op10_importance_resampling,
+    "pipeline": corpus_pipeline.run,
 }
 
 CHECKS: dict[str, str] = {"op7_max_score": topk.SQL, "op8_arc_to_warc": archives.SQL, "op9_fair_queueing": mixture.SQL}
+
+if corpus_pipeline.ORACLE_SQL:
+    CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL

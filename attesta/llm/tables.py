@@ -26,6 +26,17 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pack(docs: DataFrame, own: Sequence[str]) -> DataFrame:
+    """The columns `own` and all others in one struct `_row`, so that working columns cannot meet columns of the same name."""
+    others = [c for c in docs.columns if c not in own]
+    return docs.select(*[c for c in docs.columns if c in own], F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]).alias("_row"))
+
+
+def unpack(packed: DataFrame, docs: DataFrame) -> list:
+    """The columns of `docs` in their order, out of a packed frame."""
+    return [F.col(c) if c in packed.columns and c != "_row" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
