@@ -13,6 +13,7 @@ like any other; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import sys
 from collections.abc import Iterator, Sequence
@@ -22,15 +23,14 @@ from struct import pack
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.llm import columns, tables
 
 #: Kept moves, pairs and pieces of a worker process at most; beyond it they are made anew when next met.
-KEPT_MOVES = 200_000
+KEPT_MOVES = 300_000
 KEPT_PAIRS = 300_000
-KEPT_PIECES = 130_000
+KEPT_PIECES = 200_000
 
 _DOUBLE_SPACE = re.compile(r"\s\s|\A\s|\s\Z|\0")
 
@@ -369,14 +369,18 @@ def decode(encoded: DataFrame, ranks, pattern: str, ids: str = "ids", text: str
 def digests(docs: DataFrame, ranks, pattern: str, keep: list[str]) -> DataFrame:
     """`keep`, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded again; kept columns of these names are replaced."""
     made = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    names = [c for c in keep if c not in made]
-    kept = docs.select(*names)
-    packed = tables.pack(docs.select(*dict.fromkeys([*names, "text"])), ["text"])
-    encoded = encode(packed, ranks, pattern, "_ids")
-    done = decode(encoded if "text" in keep else encoded.drop("text"), ranks, pattern, "_ids", "_decoded")
-    return done.select(
-        *tables.unpack(done, kept),
-        (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("_ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode("_decoded", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+    kept = docs.select(*[c for c in keep if c not in made])
+    packed = tables.pack(docs.select(*dict.fromkeys([*kept.columns, "text"])), ["text"])
+    carried = [c for c in packed.columns if c == "_row" or c in kept.columns]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(ranks.value, pattern)
+        for block in columns.blocks(batches, "text", 4 << 20):
+            ids = [own.encode(t) if t else b"" for t in block.column("text").to_pylist()]
+            again = [hashlib.sha256(own.decode(i).encode("utf-8")).hexdigest() for i in ids]
+            out = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array(again, pa.string())]
+            yield pa.RecordBatch.from_arrays([*[block.column(c) for c in carried], *out], [*carried, *made])
+
+    added = [T.StructField(n, t) for n, t in zip(made, (T.LongType(), T.StringType(), T.StringType()))]
+    done = packed.mapInArrow(each, T.StructType([*packed.select(*carried).schema.fields, *added]))
+    return done.select(*tables.unpack(done, kept), *made)
