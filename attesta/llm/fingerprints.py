@@ -92,8 +92,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def merge(prints: DataFrame, by: str, fingerprint: str = "fingerprint") -> DataFrame:
     """One fingerprint per value of `by`: that of the union of its documents. No text is read."""
-    at = F.sequence(F.lit(0), F.length(fingerprint) / HEX - 1)
-    pieces = F.when(F.length(fingerprint) > 0, F.transform(at, lambda i: F.substring(F.col(fingerprint), (i * HEX + 1).cast("int"), F.lit(HEX))))
+    at = F.sequence(F.lit(0), (F.length(fingerprint) / HEX).cast("int") - 1)
+    pieces = F.when(F.length(fingerprint) > 0, F.transform(at, lambda i: F.substring(F.col(fingerprint), i * HEX + 1, F.lit(HEX))))
     single = prints.select(by, F.explode_outer(pieces).alias("_hash")).distinct()
     placed = single.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy(F.col("_hash").asc_nulls_last())))
     kept = placed.where((F.col("_hash") < F.lit(f"{LIMIT:0{HEX}x}")) | (F.col("_place") <= FLOOR))

@@ -119,7 +119,9 @@ def write_shards(tokens: DataFrame, length: int = LENGTH, width: int = 1, end: b
 
 def read_shards(spark: SparkSession, place: str, start: int = 0, length: int = LENGTH, width: int = 1, rows: int = SHARD_ROWS) -> DataFrame:
     """shard, slot, offset and body of all sequences from slot `start` on; earlier shards are not opened."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "false").load(place)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(place)
+    if "shard" not in files.columns:  # no sequence was written
+        files = files.withColumn("shard", F.lit(0))
     stride = length * width + 1
     found = files.where(F.col("shard") >= start // rows).select(F.col("shard").cast("long").alias("shard"), "content")
     at = F.explode(F.sequence(F.lit(0), (F.octet_length("content") / stride).cast("int") - 1))
