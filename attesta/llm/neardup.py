@@ -6,9 +6,11 @@ merge by the maximum of their registers and equal registers are as likely as the
 that agree in a band of registers are candidates. Their likeness is estimated from all registers by
 maximum likelihood, given both set sizes; what remains is confirmed on the full sets.
 
-Equal sets are one node. In a band bucket every node is first compared with the bucket's smallest node
-only; after components are formed, buckets that still hold several components compare nodes of different
-components. So groups of copies cost their size, and no pair that could join two components is left out.
+Equal sets are one node. In a band bucket every node is first compared with the bucket's hub only, the node
+whose buckets hold most others: in a group of copies, most likely what they were copied from. After
+components are formed, buckets that still hold several components compare nodes of different components,
+first by sketch and then by set, block by block inside tasks that only links leave. So groups of copies cost
+their size, and no pair that could join two components is left out.
 
 Cases: null or empty texts, and texts without words, have the empty set and are linked with nothing; a
 text with fewer than five words has one run of all of them; rows with the same doc_id count as linked;
@@ -37,6 +39,8 @@ SCALE = 1.001
 TOP = 65_535
 #: Estimates below this are not confirmed: five standard deviations of the estimate under the threshold.
 LEAST_ESTIMATE = 0.55
+#: Shingles of the nodes that one task compares with as many others, about.
+BLOCK_SHINGLES = 500_000
 
 _FACTORS = columns.mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * columns.U64(0xD1342543DE82EF95)) | columns.U64(1)
 
@@ -138,6 +142,90 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(each, "a long, b long")
 
 
+def _links_in_cell(node, component, size, sketch, chunk, sets, across_chunks: bool) -> list[tuple[int, int]]:
+    """Links between nodes of different components in one cell, enough to join all components that links join.
+
+    Sketches are compared first; sets only where they make the threshold likely. Pairs that a link found here
+    has joined already are left out.
+    """
+    order = np.argsort(size, kind="stable")
+    node, component, size, sketch, chunk = node[order], component[order], size[order], sketch[order], chunk[order]
+    names, label, counts = np.unique(component, return_inverse=True, return_counts=True)
+    largest = int(np.argmax(counts))
+    root = np.arange(len(names))  # of each component, joined here
+    lower = np.searchsorted(100 * size, PERCENT * size, "left")
+    upper = np.searchsorted(PERCENT * size, 100 * size, "right")
+    found = []
+    for x in np.flatnonzero(label != largest):
+        a, b = lower[x], upper[x]
+        wanted = (root[label[a:b]] != root[label[x]]) & ((label[a:b] == largest) | (np.arange(a, b) > x))
+        if across_chunks:
+            wanted &= chunk[a:b] != chunk[x]
+        others = np.flatnonzero(wanted) + a
+        if len(others):
+            others = others[(sketch[others] == sketch[x]).sum(axis=1) >= REGISTERS * (LEAST_ESTIMATE - 0.05)]
+        if not len(others):
+            continue
+        like = likelihood_estimate(np.broadcast_to(sketch[x], (len(others), REGISTERS)), sketch[others], np.full(len(others), float(size[x])), size[others].astype(float))
+        mine = sets[order[x]]
+        for y in others[np.argsort(-like, kind="stable")][: int((like >= LEAST_ESTIMATE).sum())]:
+            if root[label[y]] == root[label[x]]:
+                continue
+            other = sets[order[y]]
+            common = int(np.isin(other, mine, assume_unique=True, kind="sort").sum()) if len(other) > 64 else len(np.intersect1d(mine, other, assume_unique=True))
+            if 100 * common >= PERCENT * (len(mine) + len(other) - common):
+                found.append((int(min(node[x], node[y])), int(max(node[x], node[y]))))
+                root[root == root[label[y]]] = root[label[x]]
+    return found
+
+
+def links_across(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of different components in the same open bucket.
+
+    Buckets that share nodes form a family. A family is dealt in cells, each two blocks of its nodes with
+    BLOCK_SHINGLES or so each, and every cell is compared where it lies: no pair leaves it but links.
+    """
+    families = components(members.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "family")
+    single = members.select("node", "component").distinct()
+    rows = single.join(families, "node").join(nodes.select("node", "n_shingles", "registers"), "node")
+    cells = rows.groupBy("family").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("cells"))
+    rows = rows.join(cells, "family").join(texts, "node")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    rows = rows.withColumn("ci", F.least("chunk", "other")).withColumn("cj", F.greatest("chunk", "other"))
+    names = ["family", "ci", "cj", "chunk", "node", "component", "n_shingles"]
+
+    def compare(group: dict[str, list]) -> pa.RecordBatch:
+        data = {n: np.concatenate(group[n]) for n in names}
+        sketch = np.frombuffer(b"".join(group["registers"]), "<u2").reshape(-1, REGISTERS)
+        links = _links_in_cell(data["node"], data["component"], data["n_shingles"], sketch, data["chunk"], group["sets"], bool(data["ci"][0] != data["cj"][0]))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] | None = None
+        for block in columns.blocks(batches, "text"):
+            data = {n: block.column(n).to_numpy() for n in names}
+            sketches, sets = block.column("registers").to_pylist(), list(shingle_sets(block.column("text")))
+            new = np.ones(block.num_rows, bool)
+            new[1:] = np.any([data[n][1:] != data[n][:-1] for n in names[:3]], axis=0)
+            edges = [*np.flatnonzero(new), block.num_rows]
+            for a, b in zip(edges[:-1], edges[1:]):
+                same = held is not None and all(held[n][-1][-1] == data[n][a] for n in names[:3])
+                if held is not None and not same:
+                    yield compare(held)
+                if not same:
+                    held = {n: [] for n in (*names, "registers", "sets")}
+                for n in names:
+                    held[n].append(data[n][a:b])
+                held["registers"] += sketches[a:b]
+                held["sets"] += sets[a:b]
+        if held is not None:
+            yield compare(held)
+
+    parts = tables.partitions(members.sparkSession)
+    dealt = rows.select(*names, "registers", "text").repartition(parts, *names[:3]).sortWithinPartitions(*names[:3])
+    return dealt.mapInArrow(each, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest reachable node) of every node with a link.
 
@@ -167,21 +255,22 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes_of_sets = usable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     nodes = tables.keep(nodes_of_sets, "nodes")
     bands = band_rows(nodes)
-    buckets = bands.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first")
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = tables.keep(bands.join(buckets, "key"), "bands")  # only buckets with several nodes
+    central = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = shared.join(central, "node").select("key", "node", "weight")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", -F.col("node"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("hub"))
+    starred = tables.keep(shared.select("key", "node").join(hubs, "key"), "stars")
     ids = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     involved = ids.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     texts = tables.keep(involved, "texts")
-    starred = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = tables.keep(confirmed(plausible(starred, nodes), texts), "pairs")
+    first = starred.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    links = tables.keep(confirmed(plausible(first, nodes), texts), "pairs")
     grouped = components(links)
-    labelled = shared.join(grouped, "node", "left").select("key", "first", "node", F.coalesce("component", "node").alias("component"))
+    labelled = starred.join(grouped, "node", "left").select("key", "hub", "node", F.coalesce("component", "node").alias("component"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key")
-    left = tables.keep(labelled.join(open_keys, "key", "left_semi"), "open-bands")
-    one = left.select("key", F.col("node").alias("a"), F.col("component").alias("_ca"), "first")
-    two = left.select("key", F.col("node").alias("b"), F.col("component").alias("_cb"))
-    across = one.join(two, "key").where("a < b AND _ca <> _cb AND a <> first").select("a", "b").distinct()
-    more = confirmed(plausible(across, nodes), texts)
+    members = tables.keep(labelled.join(open_keys, "key", "left_semi"), "open-bands")
+    more = tables.keep(links_across(members, nodes, texts), "pairs")
     whole = components(links.unionByName(more))
     by_set = nodes.join(whole, "node", "left").select("set_id", F.coalesce("component", "node").alias("_component"))
     joined = usable.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id").select("doc_id", "n_shingles", F.col("_component").alias("component_id"))
