@@ -5,11 +5,11 @@ falls in one half of a per-round partition and whose right name in the other. A
 stands for, so it is the same in every document without any exchange, and equal passages are cut into equal
 symbols but for their edges. For each symbol the words that its making depends on are known.
 
-Every window of 13 words is filed under one symbol that its words alone decide (of the highest level, then
-the longest). Spark groups these symbols, and all symbols of LONG words or more, by name. A long symbol that
+Every window of 13 words is filed under one symbol that its words alone decide (the longest there
+is). Spark groups these symbols, and all symbols of LONG words or more, by name. A long symbol that
 a smaller doc_id has too settles all windows inside it at once, so copies of documents cost their symbols
 and not their windows. Windows under a shared symbol that nothing settles are compared one by one, by two
-independent 64-bit hashes of their words.
+independent hashes of their words, of 64 and 32 bits.
 
 Cases: a null text has no words, texts of fewer than 13 words lose nothing, very long texts are cut whole,
 repeated rows do not count as each other's earlier document, rows without doc_id lose nothing and are no
@@ -32,8 +32,8 @@ from attesta.llm import columns, tables
 
 WINDOW = 13
 #: Rounds whose symbols may stand for a window, and the words of a symbol that may settle windows.
-LOCAL_ROUNDS = 4
-LONG = 24
+LOCAL_ROUNDS = 3
+LONG = 32
 MOST_ROUNDS = 64
 
 _U = columns.U64
@@ -100,6 +100,10 @@ class Parse:
     long: Symbols
 
 
+def _joined(parts: list[Symbols]) -> Symbols:
+    return Symbols(*(np.concatenate([getattr(x, f) for x in parts]) for f in ("name", "start", "end", "low", "high", "text")))
+
+
 def parse(column: pa.Array) -> Parse:
     found = columns.words(column)
     hashes, first = found.hashes(), found.first
@@ -109,11 +113,12 @@ def parse(column: pa.Array) -> Parse:
     symbols = Symbols(hashes, number, number + 1, number, number + 1, text)
     levels = [symbols]
     for r in range(LOCAL_ROUNDS):
-        symbols, _ = pair_round(symbols, r, first)
-        levels.append(symbols)
+        symbols, new = pair_round(symbols, r, first)
+        levels.append(symbols.take(np.flatnonzero(new)))  # a symbol depends on the fewest words when it is made
     filed = np.zeros(n, np.uint64)
     open_ = number <= (first[text + 1] - WINDOW if n else number)
-    for level in reversed(levels):
+    # Windows take the longest symbol they decide; only those without any pair in them take a word.
+    for level in (_joined(levels[1:]), levels[0]):
         if not open_.any():
             break
         lo = np.maximum(level.high - WINDOW, first[level.text])
@@ -140,8 +145,7 @@ def parse(column: pa.Array) -> Parse:
                 long.append(symbols.take(grown))
         if before <= len(first) - 1 or (len(symbols.name) == before and r > LOCAL_ROUNDS + 24):
             break
-    parts = [np.concatenate([getattr(x, f) for x in long]) if long else getattr(symbols, f)[:0] for f in ("name", "start", "end", "low", "high", "text")]
-    return Parse(found, hashes, filed, Symbols(*parts))
+    return Parse(found, hashes, filed, _joined(long or [symbols.take(np.zeros(0, np.int64))]))
 
 
 def symbol_rows(docs: DataFrame) -> DataFrame:
@@ -164,16 +168,17 @@ def symbol_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(each, "doc_id long, name long, check long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]):
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], shift: int = 0):
     """For each batch sorted by keys and doc_id: rows behind a smaller doc_id of their group, and groups that turn out shared.
 
-    Only the group a batch ends in is remembered, by its key, smallest doc_id and whether it was reported.
+    The last key counts without its lowest `shift` bits. Only the group a batch ends in is remembered, by its key, smallest doc_id and whether it was reported.
     """
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = [batch.column(k).to_numpy() for k in keys]
+        cols[-1] = cols[-1] >> shift
         doc = batch.column("doc_id").to_numpy()
         new = np.ones(len(doc), bool)
         new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
@@ -222,7 +227,10 @@ def _spread(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 
 def open_windows(matched: DataFrame) -> DataFrame:
-    """From documents with shared symbols: settled word ranges (until > 0), and windows still to be compared, by two hashes."""
+    """From documents with shared symbols: settled word ranges (until > 0), and windows still to be compared.
+
+    A window has a 64-bit hash, and 32 bits of a second one above its 32-bit place in `tail`.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in columns.blocks(batches, "text"):
@@ -247,32 +255,34 @@ def open_windows(matched: DataFrame) -> DataFrame:
             owner = np.concatenate((text[todo], text[begin]))
             place = np.concatenate((todo, begin)) - first[owner]
             until = np.concatenate((np.zeros(len(todo), np.int64), stop - first[text[begin]]))
-            h1 = np.concatenate((one, columns.mix(begin.astype(np.uint64) + own[text[begin]]))).view(np.int64)
-            h2 = np.concatenate((two, np.zeros(len(begin), np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner], pa.int64()), pa.array(h1), pa.array(h2), pa.array(place), pa.array(until)], ["doc_id", "h1", "h2", "place", "until"])
+            h1 = np.concatenate((one, columns.mix(columns.mix(ids[text[begin]].view(np.uint64)) + begin.astype(np.uint64)))).view(np.int64)
+            high = np.concatenate((two, np.zeros(len(begin), np.uint64))) & ~_U(0xFFFFFFFF)
+            tail = (high | place.astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner], pa.int64()), pa.array(h1), pa.array(tail), pa.array(until)], ["doc_id", "h1", "tail", "until"])
 
-    return matched.select("doc_id", "text", "shared").mapInArrow(each, "doc_id long, h1 long, h2 long, place long, until long")
+    return matched.select("doc_id", "text", "shared").mapInArrow(each, "doc_id long, h1 long, tail long, until long")
 
 
 def repeated_words(matched: DataFrame) -> DataFrame:
     """doc_id and the word ranges [place, until) that windows of documents with smaller ids cover."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, later, _, _ in _groups(batches, ["settled", "h1", "h2"]):
-            doc, place, until = (batch.column(c).to_numpy() for c in ("doc_id", "place", "until"))
+        for batch, later, _, _ in _groups(batches, ["h1", "tail"], shift=32):
+            doc, tail, until = (batch.column(c).to_numpy() for c in ("doc_id", "tail", "until"))
+            place = tail & 0xFFFFFFFF
             found = later | (until > 0)
             yield pa.RecordBatch.from_arrays([pa.array(doc[found]), pa.array(place[found]), pa.array(np.where(until > 0, until, place + WINDOW)[found])], ["doc_id", "place", "until"])
 
     parts = tables.partitions(matched.sparkSession)
-    rows = open_windows(matched).withColumn("settled", (F.col("until") > 0).cast("int"))
-    grouped = rows.repartition(parts, "h1").sortWithinPartitions("settled", "h1", "h2", "doc_id")
+    grouped = open_windows(matched).repartition(parts, "h1").sortWithinPartitions("h1", F.shiftright("tail", 32), "doc_id")
     ranges = grouped.mapInArrow(each, "doc_id long, place long, until long")
     return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("place", "until")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words (one space between) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Without a cast both uses of the texts below are one and the same shuffle.
+    rows = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = rows.where(F.col("doc_id").isNotNull())
     shared = tables.keep(shared_symbols(known), "shared-symbols")
     repeated = repeated_words(known.join(shared, "doc_id"))
