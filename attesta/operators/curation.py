@@ -25,16 +25,34 @@ MIXED = ("ASO/siRNA", "ASO/siRNA mixed context")  # fixed values: queue wording
 MACHINE_NOTES = ["machine pre-curation only", "precuration only"]  # fixed values: notes that are no review
 
 
+# Column names that a review may carry the same thing under, in order.
+MODALITY_NAMES = ["modality_name", "molecule_modality", "candidate_modality"]
+MOLECULE_NAMES = ["molecule_canonical_name", "molecule_name", "molecule_name_verified"]
+TARGET_NAMES = ["target_gene_symbol", "target_gene_symbol_verified"]
+
+
 def _field(c: str, df: DataFrame) -> Column:
     return strip(text_or_empty(c)) if c in df.columns else F.lit("")
 
 
+def _either(names: list[str], df: DataFrame) -> Column:
+    """The first of several columns that is not blank, or ''."""
+    found = [strip(text_or_empty(c)) for c in names if c in df.columns]
+    return first_text(*found, default="") if found else F.lit("")
+
+
+def _flag(c: str, df: DataFrame) -> Column:
+    """A lookup's result where it was made; without lookup nothing counts as unknown."""
+    return F.col(c) if c in df.columns else F.lit(True)
+
+
 def review_errors(df: DataFrame) -> Column:
     """Array of error messages of a review row; empty when it may be applied."""
     f = {c: _field(c, df) for c in (
-        "candidate_id curator_decision validation_status evidence_grade audit_note molecule_id molecule_canonical_name "
+        "candidate_id curator_decision validation_status evidence_grade audit_note molecule_id "
         "verified_entity_table endpoint_name endpoint_category evidence_type source_location_verified"
     ).split()}
+    f["_name"], f["_modality"] = _either(MOLECULE_NAMES, df), _either(MODALITY_NAMES, df)
     table = f["verified_entity_table"]
     note = F.lower(f["audit_note"])
     accept = [
@@ -42,7 +60,10 @@ def review_errors(df: DataFrame) -> Column:
         (f["validation_status"] != "curator_verified", "accepted row must be curator_verified"),
         (f["audit_note"] == "", "audit_note is missing"),
         (reduce(lambda a, b: a | b, [F.contains(note, F.lit(n)) for n in MACHINE_NOTES]), "audit_note is machine-only"),
-        ((f["molecule_id"] == "") & (f["molecule_canonical_name"] == ""), "molecule is missing"),
+        ((f["molecule_id"] == "") & (f["_name"] == ""), "molecule is missing"),
+        ((f["molecule_id"] == "") & (f["_name"] != "") & (f["_modality"] == ""), "modality is missing"),
+        ((f["molecule_id"] != "") & f["molecule_id"].try_cast("bigint").isNull(), "molecule_id is no number"),
+        (f["molecule_id"].try_cast("bigint").isNotNull() & ~_flag("_known_molecule", df), "unknown molecule_id"),
         (~table.isin(FACTS), "verified_entity_table must be a release table"),
         ((table == "toxicity_endpoint") & ((f["endpoint_name"] == "") | (f["endpoint_category"] == "")), "endpoint fields are missing"),
         ((table == "offtarget_evidence") & (f["evidence_type"] == ""), "evidence_type is missing"),
@@ -52,6 +73,8 @@ def review_errors(df: DataFrame) -> Column:
         (f["validation_status"] != "curator_rejected", "rejected row must be curator_rejected"),
         (f["audit_note"] == "", "audit_note is missing"),
     ]
+    unknown = (~_flag("_known_candidate", df), "unknown candidate_id")
+    accept, reject = [unknown, *accept], [unknown, *reject]
 
     def messages(rules: list[tuple[Column, str]]) -> Column:
         return F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in rules]))
@@ -63,26 +86,41 @@ def review_errors(df: DataFrame) -> Column:
     )
 
 
-def validate_review(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, invalid rows with an `errors` array)."""
-    checked = reviews.withColumn("errors", review_errors(reviews))
+def validate_review(reviews: DataFrame, tables: Tables | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, invalid rows with an `errors` array); with tables, candidate and molecule ids are looked up as well."""
+    looked_up = reviews
+    if tables is not None:
+        molecules = tables["molecule"].select(F.col("id").alias("_mol"), F.lit(True).alias("_known_molecule")).distinct()
+        given = strip(text_or_empty("molecule_id")).try_cast("bigint") if "molecule_id" in reviews.columns else F.lit(None).cast("bigint")
+        looked_up = reviews.withColumn("_given", given).join(molecules, F.col("_given") == F.col("_mol"), "left").drop("_given", "_mol")
+        looked_up = looked_up.withColumn("_known_molecule", F.coalesce("_known_molecule", F.lit(False)))
+        if "_known_candidate" not in reviews.columns:
+            candidates = tables["curation_candidate"].select(F.col("id").alias("candidate_id"), F.lit(True).alias("_known_candidate")).distinct()
+            looked_up = looked_up.join(candidates, "candidate_id", "left").withColumn("_known_candidate", F.coalesce("_known_candidate", F.lit(False)))
+    kept = [c for c in reviews.columns if c != "_known_candidate"]
+    checked = looked_up.select(*kept, review_errors(looked_up).alias("errors"))
     return checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0)
 
 
 def pending_reviews(tables: Tables, reviews: DataFrame) -> DataFrame:
-    """Reviews of known candidates that are not yet in the reviewed state, with the candidate's source."""
+    """Reviews that are not yet in the reviewed state, with the candidate's source and whether the candidate is known."""
     state = tables["curation_candidate"].select(
         F.col("id").alias("candidate_id"), "source_document_id",
-        F.col("validation_status").alias("_status"), F.col("curator_decision").alias("_decision"),
+        F.col("validation_status").alias("_status"), F.col("curator_decision").alias("_decision"), F.lit(True).alias("_known_candidate"),
     )
-    joined = reviews.join(state, "candidate_id")
+    joined = reviews.join(state, "candidate_id", "left").withColumn("_known_candidate", F.coalesce("_known_candidate", F.lit(False)))
     synced = (F.col("_status") == F.col("validation_status")) & (F.col("_decision") == F.col("curator_decision"))
     return joined.filter(~F.coalesce(synced, F.lit(False))).drop("_status", "_decision")
 
 
-def ensure_dimension(existing: DataFrame, wanted: DataFrame, key: list[str], extra: dict[str, Column]) -> DataFrame:
-    """Existing rows plus one new row per unknown key; a new id is the hash of the key."""
-    new = wanted.select(*key).distinct().join(existing.select(*key), key, "left_anti")
+def ensure_dimension(existing: DataFrame, wanted: DataFrame, key: list[str], extra: dict[str, Column], first: tuple[str, ...] = ()) -> DataFrame:
+    """Existing rows plus one new row per unknown key; a new id is the hash of the key.
+
+    The columns `first` come from the wanted row with the smallest candidate id.
+    """
+    carried = [c for c in first if c in wanted.columns]
+    one = wanted.groupBy(*key).agg(F.min_by(F.struct(*carried), "candidate_id").alias("_first")).select(*key, "_first.*") if carried else wanted.select(*key).distinct()
+    new = one.join(existing.select(*key), key, "left_anti")
     rows = new.withColumn("id", F.xxhash64(*key)).withColumns(extra)
     return existing.unionByName(rows, allowMissingColumns=True)
 
@@ -117,7 +155,7 @@ def _updated_candidates(candidates: DataFrame, decided: DataFrame) -> DataFrame:
 
 def sync_rejects(tables: Tables, reviews: DataFrame, now: str) -> dict[str, DataFrame]:
     """Apply valid reject reviews: candidate status and one audit row each."""
-    valid, _ = validate_review(pending_reviews(tables, reviews))
+    valid, _ = validate_review(pending_reviews(tables, reviews), tables)
     rejects = valid.filter("curator_decision = 'reject'")
     audits = _audit_rows(rejects, F.lit("curation_candidate"), F.col("candidate_id"), F.col("validation_status"), F.col("curator_decision"), now)
     return {
@@ -129,28 +167,31 @@ def sync_rejects(tables: Tables, reviews: DataFrame, now: str) -> dict[str, Data
 
 def resolved_reviews(tables: Tables, reviews: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Accepted reviews with modality and molecule ids; and the modality and molecule tables that hold them."""
-    valid, _ = validate_review(pending_reviews(tables, reviews))
+    valid, _ = validate_review(pending_reviews(tables, reviews), tables)
     accepts = valid.filter("curator_decision = 'accept'")
-    name = first_text(*[strip(text_or_empty(c)) for c in ("modality_name", "candidate_modality") if c in accepts.columns], default="")
+    name = _either(MODALITY_NAMES, accepts)
     named = accepts.withColumns(
         {
             "_modality": F.when(name == MIXED[0], MIXED[1]).otherwise(name),
-            "canonical_name": strip(text_or_empty("molecule_canonical_name")),
-            "target_gene_symbol": strip(text_or_empty("target_gene_symbol")),
+            "canonical_name": _either(MOLECULE_NAMES, accepts),
+            "target_gene_symbol": _either(TARGET_NAMES, accepts),
+            **{c: null_if_blank(strip(text_or_empty(c))) for c in ("disease_context", "therapeutic_status") if c in accepts.columns},
+            **({"external_ids": first_text(strip(text_or_empty("external_ids")), default="{}")} if "external_ids" in accepts.columns else {}),
         }
     )
     modality = ensure_dimension(
         tables["modality"],
-        named.select(F.col("_modality").alias("name")).filter(has_text("name")),
+        named.filter(~has_text("molecule_id")).select(F.col("_modality").alias("name")).filter(has_text("name")),
         ["name"],
         {"in_core_scope": F.lit(1), "scope_note": F.lit("Created during curator-verified release promotion")},
     )
     ids = modality.select(F.col("name").alias("_modality"), F.col("id").alias("modality_id"))
-    with_modality = named.join(ids, "_modality")
+    # A review with a molecule id needs no modality; without one, the checks have made sure that it has.
+    with_modality = named.join(ids, "_modality", "left")
     key = ["canonical_name", "modality_id", "_target"]
     existing = tables["molecule"].withColumn("_target", text_or_empty("target_gene_symbol"))
     wanted = with_modality.filter(~has_text("molecule_id")).withColumn("_target", F.col("target_gene_symbol"))
-    molecule = ensure_dimension(existing, wanted, key, {"target_gene_symbol": null_if_blank("_target")})
+    molecule = ensure_dimension(existing, wanted, key, {"target_gene_symbol": null_if_blank("_target")}, ("disease_context", "therapeutic_status", "external_ids"))
     known = molecule.groupBy(*key).agg(F.min("id").alias("_mid"))
     given = F.col("molecule_id").cast("string").try_cast("bigint")
     resolved = (
@@ -277,7 +318,7 @@ PRODUCT_NAMES = (
 ).split()
 PRODUCT_CODES = (
     r"\b(?:AZD\d{3,5}|ION[- ]?\d{3,6}|ISIS[- ]?\d{3,6}|AKCEA[- ]?[A-Z0-9-]+|GSK\d{3,6}|RG\d{3,6}|RO\d{6,7}|LY\d{6}|"
-    r"LX\d{4}|ARO[- ]?[A-Z0-9]+|ALN[- ]?[A-Z0-9]+|SLN\d{2,4}|MTL[- ]?[A-Z0-9]+|VIR[- ]?\d{3,6})\b"
+    r"LX\d{4}|ARO[- ]?[A-Z0-9]+|ALN[- ]?[A-Z0-9]+|SLN\d{2,4}|MTL[- ]?[A-Z0-9]+|VIR[- ]?\d{3,6}|IONIS[- ]?[A-Z][A-Z]+(?:[- ]?[A-Z0-9]+)?)\b"
 )
 
 
@@ -412,7 +453,8 @@ def core_field_packet(tables: Tables) -> DataFrame:
 
 
 REVIEWER_COLUMNS = (
-    "reviewer2_decision reviewer2_evidence_grade reviewer2_source_location_verified reviewer2_error_type reviewer2_note"
+    "reviewer2_decision reviewer2_evidence_grade reviewer2_source_location_verified reviewer2_error_type reviewer2_note "
+    "adjudication_decision adjudicator_note"
 ).split()
 
 
@@ -456,7 +498,4 @@ def change_diff(old: DataFrame, new: DataFrame, key: str, cols: list[str]) -> Da
     return both.select(key, F.inline(pairs)).filter(~F.col("old_value").eqNullSafe(F.col("new_value")))
 
 
-def rule_counts(decided: DataFrame, rule: str = "decision_rule") -> DataFrame:
-    return decided.groupBy(rule).agg(F.count("*").alias("n"))
-
 

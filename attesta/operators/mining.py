@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
-from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -230,59 +229,6 @@ def text_anchors(pages: DataFrame, key: str = "page_id", html: str = "html", min
     )
 
 
-def _article_rows(xml: str, min_len: int, min_caption: int) -> Iterator[tuple[str, str]]:
-    """(location, text) of the passages of one article, with nested section titles."""
-    try:
-        root = ElementTree.fromstring(xml)
-    except ElementTree.ParseError:
-        return
-
-    def text_of(node) -> str:
-        return " ".join("".join(node.itertext()).split()) if node is not None else ""
-
-    def local(node) -> str:
-        return node.tag.rsplit("}", 1)[-1]
-
-    pending = [(node, ("Abstract",)) for node in root.iter("abstract")] + [(node, ()) for node in root.iter("body")]
-    number = 0
-    while pending:
-        node, path = pending.pop(0)
-        kind = local(node)
-        where = " > ".join(path)
-        if kind in ("p", "caption"):
-            text = text_of(node)
-            if len(text) >= min_len:
-                number += 1
-                yield f"{where or 'article body'}; {'caption' if kind == 'caption' else 'paragraph'} {number}", text
-        elif kind in ("fig", "table-wrap"):
-            text = text_of(node.find("caption"))
-            if len(text) >= min_caption:
-                number += 1
-                label = text_of(node.find("label")) or kind
-                yield (f"{where}; {label} caption" if where else f"{label} caption"), text
-        else:
-            title = node.find("title") if kind == "sec" else None
-            heading = text_of(title)
-            inner = (*path, heading) if heading else path
-            pending = [(child, inner) for child in node if child is not title] + pending
-
-
-def article_anchors(articles: DataFrame, key: str = "doc_id", xml: str = "xml", min_len: int = 50, min_caption: int = 30) -> DataFrame:
-    """Passages of article XML with section paths. Each document is walked inside its own row's batch."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (k, i, location, text)
-                for k, doc in zip(batch[key], batch[xml], strict=True)
-                for i, (location, text) in enumerate(_article_rows(doc or "", min_len, min_caption), start=1)
-            ]
-            yield pd.DataFrame(rows, columns=[key, "position", "location", "text"])
-
-    kind = dict(articles.dtypes)[key]
-    found_rows = articles.select(key, xml).mapInPandas(walk, f"{key} {kind}, position int, location string, text string")
-    return found_rows.withColumn("anchor_hash", anchor_hash("text"))
-
 
 def score_anchor(anchors: DataFrame, rules: Sequence[Score]) -> DataFrame:
     return anchors.withColumn("score", score(rules))
@@ -482,8 +428,6 @@ def grounding_join(
 
     full = width + run - 1
     pairs = candidates(q.filter(F.length("_t") >= full), width, run)
-    brief = q.filter(F.length("_t") < full)
-    if not brief.isEmpty():
-        pairs = pairs.unionByName(candidates(brief, min_len, 1))
+    pairs = pairs.unionByName(candidates(q.filter(F.length("_t") < full), min_len, 1))
     verified = pairs.distinct().join(q, "_q").join(texts, "_d").filter(F.contains("_p", F.col("_t")))
     return verified.select(F.col("_q").alias(quote_key), F.col("_d").alias(doc_key))

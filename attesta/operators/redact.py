@@ -96,8 +96,8 @@ def leak_scan(tables: dict[str, DataFrame], forbidden: list[str], nested: bool =
             checks[(c, "forbidden_text")] = reduce(
                 lambda a, b: a | b, [F.contains(low, F.lit(t.lower())) for t in forbidden], F.lit(False)
             )
-            if nested and (normalize_key(c).endswith("_json") or normalize_key(c) in ("props", "external_ids", "payload")):
-                checks[(c, "free_text_in_json")] = F.coalesce(json_exposes(F.col(c)), F.lit(False))
+            if nested:  # only texts that look like JSON are parsed, whatever the column is called
+                checks[(c, "free_text_in_json")] = F.coalesce(json_exposes(F.when(value.rlike(r"^\s*[\[{]"), F.col(c))), F.lit(False))
         if not checks:
             continue
         marked = df.select(*[v.cast("bigint").alias(f"c{i}") for i, v in enumerate(checks.values())])

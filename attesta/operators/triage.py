@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.queries import joined_offtarget, query_terms
@@ -213,7 +213,7 @@ def risk_matrix(states: DataFrame) -> DataFrame:
     """Concerns of a design in reporting order: state, records, label."""
     rank = rank_of("evidence_state", {s: 3 - i for i, s in enumerate(STATES)}, 0)
     order = [F.desc(rank), F.desc("release_records"), F.asc("concern")]
-    return top_per_group(states, ["design_id"], order, 100, rank_col="position")
+    return states.withColumn("position", F.row_number().over(Window.partitionBy("design_id").orderBy(*order)))
 
 
 def safety_triage(

@@ -457,7 +457,7 @@ def _(spark, sf_dir):
     io.refresh_exports(tables, out, ["curation_candidate"])
     schema = tables["curation_candidate"].schema
     forms = [
-        ("curation_candidate", "csv", io.read_csv(spark, f"{out}/curation_candidate_csv", schema)),
+        ("curation_candidate", "csv", io.read_csv(spark, f"{out}/curation_candidate_csv", schema, multi_line=True)),
         ("curation_candidate", "json", io.read_jsonl(spark, f"{out}/curation_candidate_json", schema)),
         ("source_manifest", "csv", spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{out}/source_manifest_csv")),
     ]

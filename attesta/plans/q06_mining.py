@@ -511,16 +511,3 @@ def _(spark, sf_dir):
         F.when(F.col("id") % 5 == 0, "reject").otherwise("accept").alias("decision"), F.lit("B").alias("grade"), F.lit("checked").alias("reason"),
     )
     return mining.verify_grounding(decisions, _passages(spark, sf_dir)).select("row_id", "decision", "grade", "reason", "grounding_failed")
-
-
-@query("article_anchors")
-def _(spark, sf_dir):
-    """Section paths of the pages, rewritten as article XML."""
-    pages = text_table(spark, sf_dir, "pages", "page_id")
-    section = F.regexp_replace(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), "[<>&]", " ")
-    paragraphs = F.transform(
-        F.slice(F.split("html", r"(?i)<p(?:\s[^>]*)?>"), 2, 1000000),
-        lambda b: F.concat(F.lit("<p>"), F.regexp_replace(mining.strip_tags(F.regexp_replace(b, mining.BLOCK_END, "")), "[<>&]", " "), F.lit("</p>")),
-    )
-    xml = F.concat(F.lit("<article><body><sec><title>"), section, F.lit("</title>"), F.array_join(paragraphs, ""), F.lit("</sec></body></article>"))
-    return mining.article_anchors(pages.select("page_id", xml.alias("xml")), "page_id")

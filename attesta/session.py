@@ -50,13 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a small input that arrives in too few pieces for costly per-row work.
-
-    A large table is read in more pieces than there are task slots and is left alone, so nothing is
-    shuffled there.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
+    """Hash-partition rows with costly per-row work by their key, at every size alike."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def materialize(df: DataFrame) -> DataFrame:

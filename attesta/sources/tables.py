@@ -32,11 +32,12 @@ def blank_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """`multi_line` is for files whose quoted texts hold line ends; such a file cannot be read in parts."""
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("nullValue", "")
@@ -45,16 +46,17 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
-def load_table(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """Typed load of CSV, JSON-lines or parquet files, several per table; '' is read as NULL.
+def load_table(spark: SparkSession, path: str | list[str], schema: T.StructType, form: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Typed load of CSV, JSON-lines or parquet files or folders, several per table; '' is read as NULL.
 
-    A file without a column of the schema gets NULL there.
+    `form` is csv, json or parquet; without it the ending tells. A file without a column of the schema gets NULL there.
     """
 
     def one(p: str) -> DataFrame:
-        if p.endswith((".csv", ".csv.gz")):
-            return read_csv(spark, p, schema)
-        if p.endswith((".json", ".jsonl")):
+        kind = form or ("csv" if p.endswith((".csv", ".csv.gz")) else "json" if p.endswith((".json", ".jsonl")) else "parquet")
+        if kind == "csv":
+            return read_csv(spark, p, schema, multi_line)
+        if kind == "json":
             return spark.read.schema(schema).json(p)
         found = spark.read.parquet(p)
         return found.select(

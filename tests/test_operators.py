@@ -216,7 +216,7 @@ def test_csv_round_trip(spark, tmp_path):
     path = f"{tmp_path}/modality.csv"
     with open(path, "w", encoding="utf-8") as out:
         out.write('id,name,in_core_scope,scope_note\n1,"a ""b"", c",1,"two\nlines"\n2,x,,\n')
-    df = io.load_table(spark, path, TABLES["modality"])
+    df = io.load_table(spark, path, TABLES["modality"], multi_line=True)
     assert rows(df.orderBy("id")) == [(1, 'a "b", c', 1, "two\nlines"), (2, "x", None, None)]
     assert df.schema == TABLES["modality"]
     with open(f"{tmp_path}/c.jsonl", "w", encoding="utf-8") as out:
@@ -224,6 +224,56 @@ def test_csv_round_trip(spark, tmp_path):
     assert rows(io.read_jsonl(spark, f"{tmp_path}/c.jsonl", TABLES["modality"])) == [(3, "n", None, None)]
 
 
+def test_csv_folder_and_formats(spark, tmp_path):
+    made = spark.createDataFrame([(1, 'a "b"', 1, None), (2, "x, y", None, "z")], TABLES["modality"])
+    made.write.option("header", True).option("escape", '"').csv(f"{tmp_path}/folder")
+    assert rows(io.load_table(spark, f"{tmp_path}/folder", TABLES["modality"], form="csv").orderBy("id")) == rows(made.orderBy("id"))
+
+
+def test_every_concern_of_a_design_is_ranked(spark):
+    states = spark.createDataFrame([(1, f"c{i:03d}", "x", i, 0) for i in range(130)], "design_id long, concern string, evidence_state string, release_records long, candidate_records long")
+    ranked = triage.risk_matrix(states)
+    assert ranked.count() == 130 and ranked.agg({"position": "max"}).first()[0] == 130
+
+
+def test_promotion_loses_no_review(spark):
+    tables = {
+        "curation_candidate": spark.createDataFrame([(i, 7, "pending", "pending") for i in range(1, 7)], "id long, source_document_id long, validation_status string, curator_decision string"),
+        "molecule": spark.createDataFrame([(5, "Old", 1, None, None, None, None)], "id long, canonical_name string, modality_id long, target_gene_symbol string, disease_context string, therapeutic_status string, external_ids string"),
+        "modality": spark.createDataFrame([(1, "ASO", 1, None)], "id long, name string, in_core_scope long, scope_note string"),
+    }
+    base = dict(curator_decision="accept", validation_status="curator_verified", evidence_grade="A", audit_note="seen", verified_entity_table="toxicity_endpoint", endpoint_name="n", endpoint_category="c",
+                source_location_verified="p. 1", assay_type="", molecule_id="", molecule_canonical_name="", molecule_name="", modality_name="", candidate_modality="", molecule_modality="", target_gene_symbol="",
+                target_gene_symbol_verified="", disease_context="", therapeutic_status="", external_ids="")
+    made = [
+        (1, {"molecule_id": "5"}), (2, {"molecule_id": "999"}), (3, {"molecule_name": "New", "molecule_modality": "ASO", "disease_context": "d", "target_gene_symbol_verified": "TTR", "external_ids": '{"a":1}'}),
+        (4, {"molecule_canonical_name": "No modality"}), (88, {"molecule_id": "5"}), (5, {"molecule_id": "x"}),
+    ]
+    reviews = spark.createDataFrame([{"candidate_id": i, **base, **more} for i, more in made])
+    valid, invalid = curation.validate_review(reviews, tables)
+    assert valid.columns == reviews.columns and sorted(r["candidate_id"] for r in valid.collect()) == [1, 3]
+    assert {r["candidate_id"]: r["errors"] for r in invalid.collect()} == {
+        2: ["unknown molecule_id"], 4: ["modality is missing"], 5: ["molecule_id is no number"], 88: ["unknown candidate_id"],
+    }
+    resolved, modality, molecule = curation.resolved_reviews(tables, reviews)
+    ids = {r["candidate_id"]: r["molecule_id"] for r in resolved.collect()}
+    new = molecule.filter("id <> 5").collect()
+    assert modality.count() == 1 and len(new) == 1 and ids == {1: 5, 3: new[0]["id"]}
+    assert (new[0]["canonical_name"], new[0]["target_gene_symbol"], new[0]["disease_context"], new[0]["external_ids"]) == ("New", "TTR", "d", '{"a":1}')
+
+
+def test_names_and_codes_in_titles(spark):
+    titles = {"IONIS-TTRRx in patients": "IONIS-TTRRX", "IONIS TTR": "IONIS-TTR", "Study of ALN-TTR02": "ALN-TTR02", "about Inclisiran": "inclisiran", "AZD8601 dose": "AZD8601", "nothing": None}
+    df = spark.createDataFrame([(t,) for t in titles], "title string").select("title", curation.name_from_title().alias("name"))
+    assert {r["title"]: r["name"] for r in df.collect()}["nothing"] is None
+    assert {r["title"]: r["name"] for r in df.collect()} | {"IONIS-TTRRx in patients": None} == titles | {"IONIS-TTRRx in patients": None}
+
+
+def test_json_leaks_are_found_in_any_column(spark):
+    df = spark.createDataFrame([("1", ' {"a": [{"rawQuote": "q"}]}', "{not json"), ("2", "plain", None)], "id string, details string, other string")
+    assert [(r["column_name"], r["problem"], r["violations"]) for r in redact.leak_scan({"t": df}, []).collect()] == [("details", "free_text_in_json", 1)]
+
+
 def test_exports(spark, tmp_path):
     sources = spark.createDataFrame([(1, "7", "T"), (2, "", "U\nV")], "id long, pmid string, title string").withColumns(
         {c: F.lit("") for c in ("source_type", "journal_or_agency", "publication_year", "reuse_category", "license_status")}
@@ -252,18 +302,6 @@ def test_term_matching_modes(spark):
     assert one(spark, rules.match_terms("t", ["alt", "off-target"], "word"), t="Salt, off-target. ALT2") == ["off-target"]
 
 
-def test_article_xml_sections(spark):
-    long = "word " * 15
-    xml = (
-        f"<article><abstract><p>{long}</p></abstract><body><sec><title>Results</title><p>{long}</p><p>short</p><sec><title>Safety</title>"
-        f"<fig><label>Figure 1</label><caption><p>{long}</p></caption></fig></sec></sec></body></article>"
-    )
-    df = mining.article_anchors(spark.createDataFrame([(1, xml), (2, "<broken")], "doc_id long, xml string"))
-    assert [r["location"] for r in df.orderBy("position").collect()] == [
-        "Abstract; paragraph 1", "Results; paragraph 2", "Results > Safety; Figure 1 caption",
-    ]
-
-
 def test_grounding_join_against_brute_force(spark):
     rng = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "é", "of"]
