@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import tempfile
@@ -193,6 +194,14 @@ def test_redaction_of_nested_values():
     assert "rawQuote" not in out["payload"] and "raw_quote_withheld" in out["payload"]
 
 
+def test_identifiers_inside_nested_json():
+    inner = json.dumps({"pmcid": " pmc12;", "canonical_name": "X (v1 extraction artefact, pending source re-verification)", "sequence_status": "needs_curator_sequence_curation", "note": ["[]", "{bad"]})
+    out = redact_value({"details": inner, "pmcid": "none", "list": [{"source_pmcid": "PMC3 "}]})
+    assert json.loads(out["details"]) == {"pmcid": "PMC12", "canonical_name": "X", "sequence_status": "sequence_not_available", "note": ["[]", "{bad"]}
+    assert out["pmcid"] == "" and out["list"] == [{"source_pmcid": "PMC3"}]
+    assert redact_value({"quote": {"a": [1, {"abstract": "t"}]}})["quote_sha256"] == hashlib.sha256(json.dumps({"a": [1, {"abstract": "t"}]}).encode()).hexdigest()
+
+
 def test_redact_columns_and_scan(spark):
     df = spark.createDataFrame([("x", "secret", "n", "pmc7;"), ("y", "", None, "")], "id string, evidence_quote string, reviewerNote string, pmcid string")
     assert sensitive_columns(df.columns) == ["evidence_quote", "reviewerNote"]
