@@ -8,7 +8,7 @@ from attesta.lexicons import QueueTask
 from attesta.operators import mining, rules
 from attesta.operators.rules import Label, Reject, Score, any_word, has, lacks
 from attesta.plans.registry import query
-from attesta.rulesets import ATTRIBUTES, anchor_scores
+from attesta.rulesets import ATTRIBUTES, ATTRIBUTES_OFFTARGET, anchor_scores
 from attesta.sources.adapters import evidence_tables, raw_table, text_table
 
 # Test vocabulary: words of the test prose.
@@ -397,6 +397,34 @@ def _(spark, sf_dir):
     return rules.infer_attributes(_contexts(spark, sf_dir), ATTRIBUTES).select("row_id", "position", *ATTRIBUTES)
 
 
+# Words of the rule tables, dealt over the sentences in their place, so that every assay occurs in both domains.
+ASSAY_WORDS = [
+    "a clinical phase 2 study", "RNA-seq of liver", "MTT was used", "LDH release", "serum ALT", "haemolysis", "a microarray", "a luciferase reporter", "an in silico tool", "nothing else",
+]
+
+
+def _worded(spark, sf_dir):
+    words = F.array(*[F.lit(w) for w in ASSAY_WORDS])
+    said = F.element_at(words, (F.pmod(F.col("row_id") + F.col("position"), F.lit(len(ASSAY_WORDS))) + 1).cast("int"))
+    return _contexts(spark, sf_dir).withColumn("text", said).withColumn("combined", said)
+
+
+@query(
+    "infer_assays",
+    f"""WITH {CTX}, w AS (SELECT row_id, position, ['{"', '".join(ASSAY_WORDS)}'][1 + (row_id + position) % {len(ASSAY_WORDS)}] AS word FROM ctx)
+      SELECT row_id, position,
+        CASE word WHEN 'a clinical phase 2 study' THEN 'clinical safety assessment' WHEN 'RNA-seq of liver' THEN 'RNA-seq' WHEN 'MTT was used' THEN 'cell viability assay'
+          WHEN 'LDH release' THEN 'LDH cytotoxicity assay' WHEN 'serum ALT' THEN 'in vivo toxicity' WHEN 'haemolysis' THEN 'hemolysis assay' ELSE 'experimental safety assessment' END AS toxicity_assay,
+        CASE word WHEN 'RNA-seq of liver' THEN 'RNA-seq/transcriptome profiling' WHEN 'a microarray' THEN 'microarray' WHEN 'a luciferase reporter' THEN 'luciferase reporter'
+          WHEN 'an in silico tool' THEN 'computational off-target prediction' ELSE 'off-target assessment' END AS offtarget_assay FROM w""",
+)
+def _(spark, sf_dir):
+    """The real assay tables of both domains; the check names the outcome of each word by hand."""
+    worded = _worded(spark, sf_dir)
+    both = {"toxicity_assay": ATTRIBUTES["assay_type"], "offtarget_assay": ATTRIBUTES_OFFTARGET["assay_type"]}
+    return rules.infer_attributes(worded, both).select("row_id", "position", *both)
+
+
 @query(
     "infer_molecules",
     r"""WITH t AS (SELECT doc_id, unnest(a) AS tok, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?i)[a-z]+(tion|heit|ment)') AS a FROM documents)),

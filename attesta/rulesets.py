@@ -72,7 +72,10 @@ OFFTARGET_CONCRETE = [
 PROFILING = ["RNA-seq", "RNA seq", "transcriptome", "microarray", "global gene expression", "gene expression profiling", "genome-wide"]
 PROFILED_EFFECT = ["off-target", "off target", "unintended", "non-target", "nontarget", "mismatch", "seed", "hybridization"]
 # Computational and laboratory words.
-COMPUTATIONAL = ["in silico", "software", "algorithm", "model", "deep learning", "machine learning", "predict", "prediction", "web server", "database", "benchmark"]
+COMPUTATIONAL = [
+    "in silico", "software", "algorithm", "model", "deep learning", "machine learning", "predict", "prediction", "design",
+    "designer", "suite", "tool", "web server", "database", "benchmark",
+]
 WET_ASSAY = [
     "RNA-seq", "transcriptome", "microarray", "luciferase", "reporter", "qPCR", "RT-qPCR", "western blot",
     "cell viability", "CCK-8", "MTT", "LDH", "flow cytometry", "ELISA", "histology", "H&E", "ALT", "AST", "clinical",
@@ -175,6 +178,8 @@ GRADES = [
     Label("A", (has("location", RESULTS_PLACE + "|Safety|Toxicity|Cytotoxicity|Off-target|Specificity"),)),
     Label("B", (has("location", "."),)),
 ]
+# Evidence that was only computed is grade C, whatever its place.
+GRADES_COMPUTATIONAL = [Label("C", (has("is_computational_prediction", "^(?:1|true)$"),)), *GRADES]
 GRADES_ABSTRACT = [Label("B", (has("text", r"\b" + "|".join([*PROFILING[:4], "luciferase", "reporter", "clinical", "patients?", "mice", "in vivo"]) + r"\b"),))]
 GRADES_BY_TERMS = [
     Label("C", (has("text", any_word(["review", "guidance", "perspective", "meta-analysis"])),)),
@@ -216,16 +221,23 @@ MODALITIES = labels_on("combined", [
     ("siRNA", r"\bsiRNA|small interfering|RNAi|shRNA"),
     ("ASO", r"\bantisense|ASO|gapmer|LNA"),
 ])
-ASSAYS = labels_on("text", [
-    ("RNA-seq/transcriptome profiling", r"\bRNA-seq|RNA seq|transcriptome\b"),
-    ("microarray", r"\bmicroarray\b"),
-    ("luciferase reporter", r"\bluciferase|reporter\b"),
+# Assay of a safety passage and of an off-target passage, in order; each has its own default.
+ASSAYS_TOXICITY = labels_on("text", [
     ("clinical safety assessment", r"\bclinical|phase [123]|patients?\b"),
+    ("RNA-seq", r"\bRNA-seq|transcriptome\b"),
     ("cell viability assay", r"\bMTT|CCK-8|CellTiter|cell viability\b"),
     ("LDH cytotoxicity assay", r"\bLDH\b"),
     ("in vivo toxicity", r"\bALT|AST|BUN|creatinine|serum|blood chemistry|histolog|H&E|body weight\b"),
     ("hemolysis assay", r"\bhemolysis|haemolysis\b"),
 ])
+ASSAYS_OFFTARGET = [
+    *labels_on("text", [
+        ("RNA-seq/transcriptome profiling", r"\bRNA-seq|RNA seq|transcriptome\b"),
+        ("microarray", r"\bmicroarray\b"),
+        ("luciferase reporter", r"\bluciferase|reporter\b"),
+    ]),
+    Label("computational off-target prediction", (has("combined", any_word(COMPUTATIONAL)), lacks("text", any_word(WET_ASSAY)))),
+]
 ORGANISMS = labels_on("text", [
     ("human", r"\bpatients?|participants?|human\b"),
     ("non-human primate", r"\bmonkey|cynomolgus|macaque|non-human primate|NHP\b"),
@@ -251,12 +263,14 @@ ATTRIBUTES = {
     "endpoint_name": (ENDPOINTS, "toxicity"),
     "evidence_type": (EVIDENCE_TYPES, "off-target evidence"),
     "modality_name": (MODALITIES, "oligonucleotide"),
-    "assay_type": (ASSAYS, "experimental safety assessment"),
+    "assay_type": (ASSAYS_TOXICITY, "experimental safety assessment"),
     "organism": (ORGANISMS, ""),
     "tissue": (TISSUES, ""),
     "direction": (DIRECTIONS, ""),
     "significance_label": (SIGNIFICANCE, ""),
 }
+# The same for off-target passages: another list of assays, with its own default.
+ATTRIBUTES_OFFTARGET = {**ATTRIBUTES, "assay_type": (ASSAYS_OFFTARGET, "off-target assessment")}
 # Molecule name patterns and words that are no molecule.
 MOLECULE_PATTERNS = [
     r"\b[A-Z]{2,}[0-9][A-Z0-9-]*\b",
