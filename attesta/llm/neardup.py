@@ -73,6 +73,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_id (equal sets have equal ids; null for the empty set) and registers of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns.release_kept()
         for block in columns.blocks(batches, "text"):
             sizes, ids, sketches = [], [], []
             for elements in shingle_sets(block.column("text")):

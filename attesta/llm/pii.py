@@ -125,6 +125,7 @@ def extract(docs: DataFrame, carried: list[str]) -> DataFrame:
     """`carried` columns, a key of the row's id and text, base spans, and all identifiers with their contexts (kind -1: not base)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns.release_kept()
         for block in columns.blocks(batches, "text", 4 << 20):
             keys, bases, seens = [], [], []
             for doc_id, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist()):

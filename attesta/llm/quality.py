@@ -75,6 +75,7 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
     """bucket, raw and target counts over all documents; every task sends one row per bucket it has met."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns.release_kept()
         raw = np.zeros(1 << BUCKET_BITS, np.int64)
         target = np.zeros(1 << BUCKET_BITS, np.int64)
         for block in columns.blocks(batches, "text"):
