@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from attesta.llm import quality
 from tests.llm.fixtures import awkward
@@ -40,3 +41,33 @@ def test_awkward_rows(spark):
     some = spark.createDataFrame([(1, 1, 0, None), (1, 1, 0, None), (7, 0, None, None), (None, 1, 0, None), (9, None, 0, None), (6, 1, 0, None), (5, 1, 0, None)], LABELS)
     assert quality.classify(docs, some)[0].count() == 11
     assert quality.classify(awkward(spark, empty=True), some)[0].count() == 0
+
+
+def test_held_out_toxic_documents_are_rejected(spark):
+    large = SF.replace("0.01", "0.1")
+    docs, labels = spark.read.parquet(f"{large}/documents.parquet"), spark.read.parquet(f"{large}/labels.parquet")
+    fitted = labels.where("doc_id % 2 = 0")
+    scores = quality.classify(docs, fitted)[0].cache()
+    held = scores.join(labels.where("doc_id % 2 = 1").select("doc_id", "quality", F.col("toxic").alias("said")), "doc_id").collect()
+    missed = [r["kept"] for r in held if r["said"] == 1 and r["quality"] == 1]
+    clean = [r["toxic"] for r in held if r["said"] == 0]
+    print("toxic of quality 1", len(missed), "kept", np.mean(missed), "clean", len(clean), "called toxic", np.mean(clean))
+    assert len(missed) > 150 and np.mean(missed) < 0.1
+    assert len(clean) > 1000 and np.mean(clean) < 0.02
+    left = quality.without_toxic(docs, fitted)
+    assert left.columns == docs.columns
+    assert {r["doc_id"] for r in left.select("doc_id").collect()} == {r["doc_id"] for r in scores.where("NOT toxic").collect()}
+
+
+def test_a_few_toxic_words_in_a_long_text(spark):
+    names = "oak elm ash fir yew".split()
+    plain = lambda i, n: " ".join(f"{names[(i + k) % 5]} w{(i * 31 + k * 7) % 400}" for k in range(n))
+    texts = [(i, plain(i, 50) + (" vile stuff" if i % 4 == 0 else "")) for i in range(200)]
+    texts += [(900, plain(3, 9000) + " vile " + plain(4, 9000)), (901, plain(5, 18000)), (902, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0), None) for i in range(200)] + [(None, 1, 1, None), (902, 1, None, None)], LABELS)
+    kept = {r["doc_id"]: r["toxic"] for r in quality.classify(docs, labels)[0].collect()}
+    assert (kept[900], kept[901], kept[902]) == (True, False, False)
+    assert all(kept[i] == (i % 4 == 0) for i in range(200))
+    none = spark.createDataFrame([(i, 1, 0, None) for i in range(200)], LABELS)
+    assert quality.without_toxic(docs, none).count() == len(texts)
