@@ -352,6 +352,14 @@ def test_gene_symbols(spark):
     assert got == {i: (set(s.split(";")), rule) for i, (_, _, s, rule) in enumerate(GENE_ROWS)}
 
 
+def test_gene_vocabularies_are_whole(spark):
+    words = genes.GeneLexicon()
+    assert (len(set(words.known)), len({*words.noise, *words.prose})) == (75, 393)
+    df = spark.createDataFrame([(1, "siF7", None), (2, "AR", None), (3, None, "TGF;TTR"), (4, None, "CRISPR")], "id long, canonical_name string, target_gene_symbol string")
+    got = {r["id"]: set(r["t"]) for r in df.select("id", genes.intended_targets().alias("t")).collect()}
+    assert got == {1: {"F7", "FVII"}, 2: {"AR"}, 3: {"TTR"}, 4: set()}
+
+
 def test_intended_targets(spark):
     df = spark.createDataFrame(
         [(1, "TTR; f12", "x"), (2, None, "siIGF1R-1"), (3, "", "TNRC6; GW182; AGO2"), (4, "", "TMEM16a"), (5, "", "ARL4C-targeting ASO")],
