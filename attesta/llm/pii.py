@@ -206,10 +206,14 @@ def _said(spans: Column) -> Column:
     return F.array_join(parts, ",")
 
 
+def _of_kind(kind: int) -> Column:
+    return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, number of base spans of each kind, digest of the base spans, and all spans as text."""
     found = find(docs, ["doc_id"])
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [_of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_said(F.col("_base")), 256).alias("base_sha256"), _said(F.col("_all")).alias("spans"))
 
 
