@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import archives, bpe, fingerprints, mixture, neardup, pii, quality, repeats, topk, training_order
+from attesta.llm import archives, bpe, fingerprints, manifest, mixture, neardup, pii, quality, repeats, topk, training_order
 from attesta.llm.tables import read
 
 
@@ -55,6 +55,10 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))[0]
 
 
+def op13_incremental_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tampering_report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_feistel_shards": op2_feistel_shards,
@@ -66,10 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_fair_queueing": op9_fair_queueing,
     "op10_importance_resampling": op10_importance_resampling,
+    "op13_incremental_witnesses": op13_incremental_witnesses,
     "pipeline": corpus_pipeline.run,
 }
 
-CHECKS: dict[str, str] = {"op7_max_score": topk.SQL, "op8_arc_to_warc": archives.SQL, "op9_fair_queueing": mixture.SQL}
+CHECKS: dict[str, str] = {"op7_max_score": topk.SQL, "op8_arc_to_warc": archives.SQL, "op9_fair_queueing": mixture.SQL, "op13_incremental_witnesses": manifest.SQL}
 
 if corpus_pipeline.ORACLE_SQL:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
