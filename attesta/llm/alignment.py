@@ -8,8 +8,8 @@ range is closed where it is read and is not shuffled.
 
 A cut is a single space or line feed between two visible characters. No token of either tokenizer crosses it:
 the byte-level one starts a new piece there, and no piece of the other holds a space or line feed behind
-another character (`Tokenizers` checks that). What lies between two cuts is tokenized alone, each distinct
-segment once per worker, and its groups, links and printed groups are kept for repeated use (bounded).
+another character (`Tokenizers` checks that). What lies between two cuts is tokenized alone, and each
+distinct segment of a few MB of text once.
 
 Counts of linked ids are taken over documents packed in blocks: a block's distinct pairs are counted once,
 joined with the corpus's counts, and sent back to the block, so what is shuffled follows the distinct pairs
@@ -23,8 +23,11 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import os
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +43,25 @@ RANGE = 32 << 10
 FAN = 8
 #: A block of documents holds about as many bytes of text.
 BLOCK = 8 << 20
-#: Distinct segments that a worker keeps, and the longest that it keeps.
-KEPT, KEPT_BYTES = 120_000, 64
+#: Texts aligned in one pass over flat arrays hold about as many bytes.
+PASS = 6 << 20
+#: In a group with more links, each pair of different ids is counted, not listed.
+LARGE_GROUP = 4096
+
+
+#: A segment of visible ASCII and two-byte letters behind its space or line feed, and how many of them are tokenized together.
+_PLAIN = re.compile(rb"[ \n](?:[!-~]|[\xc3-\xdf][\x80-\xbf])+")
+TOGETHER = 64
 
 
 @dataclass
-class Segment:
-    """What lies between two cuts: its groups printed, its numbers of tokens, groups and links, and its linked pairs."""
+class Segments:
+    """Distinct segments between cuts: whether their tokens give their bytes, their groups printed, numbers of tokens, groups and links, and linked pairs."""
 
-    said: bytes
-    sizes: tuple[int, int, int, int]
+    good: np.ndarray
+    said: list[bytes]
+    sizes: np.ndarray
+    widths: np.ndarray
     pairs: np.ndarray
     times: np.ndarray
 
@@ -88,58 +100,152 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_str(byte_json)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         letters = _byte_letters()
-        self.a_bytes = {i: bytes(letters[c] for c in entry) for entry, i in self.a.get_vocab(with_added_tokens=False).items()}
+        entries = self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(entries.values()) + 1)
+        for entry, i in entries.items():
+            # Entries in other letters are special tokens, which texts do not give.
+            self.a_bytes[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else b""
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         for piece in pieces:
             if "▁" in piece.lstrip("▁") or "\n" in piece:
                 raise ValueError(f"a piece crosses a cut: {piece!r}")
         self.space = self.b.piece_to_id("▁")
+        self.marked = [b"%d%s" % (i, mark) for i in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in (b",", b"|", b";")]
+        self.a_lengths, self.b_lengths = (np.array([len(k) for k in known], np.int64) for known in (self.a_bytes, self.b_bytes))
+        self.marked_lengths = np.array([len(m) for m in self.marked], np.int64)
 
-    def tokens(self, segments: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
-        """The ids of both tokenizers for segments that start with a space or line feed."""
-        texts = [s.decode() for s in segments]
+    def tokens(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of both tokenizers for texts that start with a space or line feed."""
         a = self.a.encode_batch_fast(texts, add_special_tokens=False)
-        # The piece tokenizer puts a space before its input: the one that a segment starts with, or one that goes again.
+        # The piece tokenizer puts a space before its input: the one that a text starts with, or one that goes again.
         b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-        for text, x, y in zip(texts, a, b):
-            yield x.ids, y if text[0] == " " else y[1:] if y[:1] == [self.space] else []
-
-    def segment(self, raw: bytes, a: list[int], b: list[int]) -> Segment | None:
-        """The groups of a segment; None if its tokens do not give its bytes."""
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return None
-        ends_a, ends_b = np.cumsum([len(x) for x in a_bytes]), np.cumsum([len(x) for x in b_bytes])
-        shared = np.intersect1d(ends_a, ends_b)
+        return [x.ids for x in a], [y if t[0] == " " else y[1:] if y[:1] == [self.space] else [] for t, y in zip(texts, b)]
+
+    def sides(self, raw: list[bytes]) -> list[_Side]:
+        """The tokens of each segment. Plain segments are tokenized many at a time: between any two of them is a cut."""
+        plain = [i for i, r in enumerate(raw) if _PLAIN.fullmatch(r)]
+        runs = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        other = sorted(set(range(len(raw))).difference(plain))
+        made = self.tokens([b"".join([raw[i] for i in run]).decode() for run in runs] + [raw[i].decode() for i in other])
+        order = np.array([*plain, *other], np.int64)
+        widths = np.array([len(raw[i]) for i in order], np.int64)
+        out = []
+        for lists, known, lengths in zip(made, (self.a_bytes, self.b_bytes), (self.a_lengths, self.b_lengths)):
+            ids, counts = _flat(lists)
+            upto = np.concatenate(([0], np.cumsum(lengths[ids])))
+            ends, wanted = upto[1 : 1 + int(counts[: len(runs)].sum())], np.cumsum(widths[: len(plain)])
+            places = np.searchsorted(ends, wanted)
+            if len(plain) and not (len(ends) and ends[-1] == wanted[-1] and (ends[places] == wanted).all()):
+                return self._one_by_one(raw)
+            of_each = np.concatenate((np.diff(places + 1, prepend=0), counts[len(runs) :]))
+            out.append(_Side(ids, of_each, known, lengths).ordered(order))
+        return out
+
+    def _one_by_one(self, raw: list[bytes]) -> list[_Side]:
+        made = self.tokens([r.decode() for r in raw])
+        return [_Side(*_flat(made[0]), self.a_bytes, self.a_lengths), _Side(*_flat(made[1]), self.b_bytes, self.b_lengths)]
+
+    def segments(self, raw: list[bytes]) -> Segments:
+        """Tokenize and align segments, all in one pass over flat arrays."""
+        sides = self.sides(raw)
+        widths = np.array([len(r) for r in raw], np.int64)
+        good = np.logical_and.reduce([widths == s.bytes_of_each() for s in sides])
+        joined = np.frombuffer(b"".join(r for r, g in zip(raw, good) if g), np.uint8)
+        place = np.repeat(np.flatnonzero(good), widths[good])
+        for side in sides:
+            side.keep(good)
+            good[place[joined != np.frombuffer(b"".join(map(side.known.__getitem__, side.ids.tolist())), np.uint8)]] = False
+        for side in sides:
+            side.keep(good)
+        a, b = sides
+        ends_a, ends_b = np.cumsum(a.lengths[a.ids]), np.cumsum(b.lengths[b.ids])
+        ends = np.zeros(int(widths[good].sum()) + 1, bool)
+        ends[ends_b] = True
+        shared = ends_a[ends[ends_a]]
         to_a, to_b = np.searchsorted(ends_a, shared, "right"), np.searchsorted(ends_b, shared, "right")
-        said, pairs, times = [], [], []
-        links = from_a = from_b = 0
-        for at_a, at_b in zip(to_a.tolist(), to_b.tolist()):
-            ids_a, ids_b = a[from_a:at_a], b[from_b:at_b]
-            said.append(f"{','.join(map(str, ids_a))}|{','.join(map(str, ids_b))}")
-            links += len(ids_a) * len(ids_b)
-            if len(ids_a) == len(ids_b) == 1:
-                pairs.append(np.array([ids_a[0] << 32 | ids_b[0]], np.int64))
-                times.append(np.ones(1, np.int64))
-            else:
-                ka, na = np.unique(np.array(ids_a, np.int64), return_counts=True)
-                kb, nb = np.unique(np.array(ids_b, np.int64), return_counts=True)
-                pairs.append(((ka[:, None] << 32) | kb[None, :]).ravel())
-                times.append((na[:, None] * nb[None, :]).ravel())
-            from_a, from_b = at_a, at_b
-        merged = summed(np.concatenate(pairs), np.concatenate(times))
-        return Segment(";".join(said).encode(), (len(a), len(b), len(said), links), *merged)
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        of_group = np.flatnonzero(good)[np.searchsorted(np.cumsum(widths[good]), shared)]
+        sizes = np.stack([np.bincount(of_group, w, len(raw)).astype(np.int64) for w in (n_a, n_b, np.ones(len(shared)), n_a * n_b)], axis=1)
+        said = self._printed(a, b, to_a, to_b, n_a, n_b)
+        printed = iter(said)
+        pairs, times, of_pair = _linked(a.ids, b.ids, to_a, to_b, n_a, n_b, of_group)
+        return Segments(good, [next(printed) if g else b"" for g in good], sizes, np.bincount(of_pair, minlength=len(raw)), pairs, times)
+
+    def _printed(self, a: _Side, b: _Side, to_a: np.ndarray, to_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[bytes]:
+        """The groups of each good segment as text: an id with the mark behind it is one entry of a table."""
+        codes = np.empty(len(a.ids) + len(b.ids), np.int64)
+        last_a, last_b = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
+        last_a[to_a - 1], last_b[to_b - 1] = 1, 2
+        codes[np.arange(len(a.ids)) + np.repeat(to_b - n_b, n_a)] = a.ids * 3 + last_a
+        codes[np.arange(len(b.ids)) + np.repeat(to_a, n_b)] = b.ids * 3 + last_b
+        text = b"".join(map(self.marked.__getitem__, codes.tolist()))
+        upto = np.concatenate(([0], np.cumsum(self.marked_lengths[codes])))[np.concatenate(([0], np.cumsum(a.counts + b.counts)))].tolist()
+        return [text[x : y - 1] for x, y in zip(upto, upto[1:])]
+
+
+class _Side:
+    """The tokens of one tokenizer for a list of segments, flat."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, known: list[bytes], lengths: np.ndarray) -> None:
+        self.ids, self.counts, self.known, self.lengths = ids, counts, known, lengths
+        self.segments = np.arange(len(counts))
+
+    def ordered(self, order: np.ndarray) -> _Side:
+        """The same for segments in their own order; they are held in the order of the numbers `order`."""
+        back = np.argsort(order)
+        counts = self.counts[back]
+        begins = (np.cumsum(self.counts) - self.counts)[back]
+        place = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        return _Side(self.ids[place], counts, self.known, self.lengths)
+
+    def bytes_of_each(self) -> np.ndarray:
+        upto = np.concatenate(([0], np.cumsum(self.lengths[self.ids])))
+        at = np.concatenate(([0], np.cumsum(self.counts)))
+        return np.diff(upto[at])
+
+    def keep(self, good: np.ndarray) -> None:
+        """Leave out the tokens of segments that are not good."""
+        own = good[self.segments]
+        self.ids, self.counts, self.segments = self.ids[np.repeat(own, self.counts)], self.counts[own], self.segments[own]
+
+
+def _flat(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All values of the lists, and the length of each."""
+    counts = np.array([len(x) for x in lists], np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
+
+
+def _linked(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, of_group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked pairs, how often each occurs, and its segment, by segment; a large group gives each pair of different ids once."""
+    large = n_a * n_b > LARGE_GROUP
+    reach = np.repeat(np.where(large, 0, n_b), n_a)
+    into = np.repeat(np.repeat(to_b - n_b, n_a) - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))
+    pairs = (np.repeat(a, reach) << 32) | b[into]
+    times, of_pair = np.ones(len(pairs), np.int64), np.repeat(np.repeat(of_group, n_a), reach)
+    for g in np.flatnonzero(large).tolist():
+        ka, wa = np.unique(a[to_a[g] - n_a[g] : to_a[g]], return_counts=True)
+        kb, wb = np.unique(b[to_b[g] - n_b[g] : to_b[g]], return_counts=True)
+        pairs = np.concatenate((pairs, ((ka[:, None] << 32) | kb[None, :]).ravel()))
+        times = np.concatenate((times, (wa[:, None] * wb[None, :]).ravel()))
+        of_pair = np.concatenate((of_pair, np.full(len(ka) * len(kb), of_group[g])))
+    if large.any():
+        order = np.argsort(of_pair, kind="stable")
+        return pairs[order], times[order], of_pair[order]
+    return pairs, times, of_pair
 
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their values."""
     if not len(keys):
         return keys.astype(np.int64), values.astype(np.int64)
+    if (values == 1).all():
+        return np.unique(keys, return_counts=True)
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], values[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -160,57 +266,44 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 class Aligner:
-    """Turns bytes into fragments and composes them; keeps what it knows of segments."""
+    """Turns bytes into fragments and composes them; the tokenizers are made when they are first needed."""
 
     def __init__(self, byte_json: str, piece_model: bytes) -> None:
         self.made: tuple[str, bytes] = (byte_json, piece_model)
         self.tokenizers: Tokenizers | None = None
-        self.known: dict[bytes, Segment | None] = {}
-
-    def segments(self, wanted: list[bytes]) -> list[Segment | None]:
-        """What is known of each of the distinct segments `wanted`."""
-        if self.tokenizers is None:
-            self.tokenizers = Tokenizers(*self.made)
-        new = [s for s in wanted if s not in self.known]
-        own = {s: self.tokenizers.segment(s, *ids) for s, ids in zip(new, self.tokenizers.tokens(new))}
-        found = [own[s] if s in own else self.known[s] for s in wanted]
-        if len(self.known) > KEPT:
-            self.known.clear()
-        self.known.update((s, v) for s, v in own.items() if len(s) <= KEPT_BYTES)
-        return found
 
     def closed(self, texts: list[bytes]) -> Iterator[Fragment]:
         """Fragments of byte strings that start and end at a cut."""
+        if self.tokenizers is None:
+            self.tokenizers = Tokenizers(*self.made)
         data = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        at = cuts(data)
-        starts = np.unique(np.concatenate((at, offsets[:-1][np.diff(offsets) > 0])))
+        starts = np.unique(np.concatenate((cuts(data), offsets[:-1][np.diff(offsets) > 0])))
         bounds = np.append(starts, len(data)).astype(np.int64)
-        raw = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
-        coded = raw.dictionary_encode()
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        segments = self.segments(coded.dictionary.to_pylist())
-        usable = np.array([s is not None for s in segments], bool)
-        said = [b"" if s is None else s.said for s in segments]
-        sizes = np.array([(0, 0, 0, 0) if s is None else s.sizes for s in segments], np.int64).reshape(-1, 4)
-        widths = np.array([0 if s is None else len(s.pairs) for s in segments], np.int64)
-        all_pairs = np.concatenate([np.zeros(0, np.int64), *[s.pairs for s in segments if s is not None]])
-        all_times = np.concatenate([np.zeros(0, np.int64), *[s.times for s in segments if s is not None]])
-        begins = np.cumsum(widths) - widths
+        known = self.tokenizers.segments(coded.dictionary.to_pylist())
         first = np.searchsorted(starts, offsets)
+        # Numbers of a text are differences of running sums over its segments.
+        upto = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(known.sizes[codes], axis=0)))[first]
+        usable = np.diff(np.concatenate(([0], np.cumsum(~known.good[codes])))[first]) == 0
+        # Pairs of a text: sort (text, pair), the pairs numbered within this call.
+        distinct, number = np.unique(known.pairs, return_inverse=True)
+        wide = known.widths[codes]
+        place = np.repeat((np.cumsum(known.widths) - known.widths)[codes] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
+        of_text = np.repeat(np.repeat(np.arange(len(texts)), np.diff(first)), wide)
+        keys, times = summed(of_text * max(len(distinct), 1) + number[place], known.times[place])
+        at = np.searchsorted(keys, np.arange(len(texts) + 1) * max(len(distinct), 1))
+        pairs = distinct[keys % max(len(distinct), 1)] if len(keys) else keys
+        codes_list = codes.tolist()
         for i in range(len(texts)):
-            own = codes[first[i] : first[i + 1]]
-            if not len(own):
-                yield Fragment(has_cut=True)
-                continue
-            if not usable[own].all():
+            if not usable[i]:
                 yield Fragment(has_cut=True, good=False)
-                continue
-            kinds, often = np.unique(own, return_counts=True)
-            wide = widths[kinds]
-            place = np.repeat(begins[kinds] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
-            pairs, times = summed(all_pairs[place], all_times[place] * np.repeat(often, wide))
-            yield Fragment(has_cut=True, said=[b";".join([said[c] for c in own.tolist()])], sizes=(sizes[kinds] * often[:, None]).sum(0), pairs=pairs, times=times)
+            elif first[i] == first[i + 1]:
+                yield Fragment(has_cut=True)
+            else:
+                said = b";".join([known.said[c] for c in codes_list[first[i] : first[i + 1]]])
+                yield Fragment(has_cut=True, said=[said], sizes=upto[i + 1] - upto[i], pairs=pairs[at[i] : at[i + 1]], times=times[at[i] : at[i + 1]])
 
     def of_range(self, raw: bytes) -> Fragment:
         """The fragment of any byte range."""
@@ -313,7 +406,7 @@ def align(docs: DataFrame, vocabulary: tuple[str, bytes], span: int = RANGE) ->
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(byte_json, piece_model)
         number, held = TaskContext.get().partitionId() << 32, 0
-        for block in columns.blocks(batches, "text"):
+        for block in columns.blocks(batches, "text", PASS):
             texts = [b" " + t.encode() if t else b"" for t in block.column("text").to_pylist()]
             size = sum(map(len, texts))
             held += size
@@ -346,7 +439,7 @@ def _long_texts(longs: DataFrame, most: int, id_type: str, vocabulary: tuple[str
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(byte_json, piece_model)
-        for block in columns.blocks(batches, "_raw"):
+        for block in columns.blocks(batches, "_raw", PASS):
             yield _fragment_table([aligner.of_range(raw) for raw in block.column("_raw").to_pylist()], {k: block.column(k) for k in keys})
 
     def composed(group: pa.Table) -> pa.Table:
