@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import alignment, archives, bpe, fingerprints, manifest, mixture, neardup, pii, quality, repeats, topk, training_order
+from attesta.llm import alignment, archives, bpe, fingerprints, manifest, mixture, neardup, pii, quality, repeats, sharding, topk, training_order
 from attesta.llm.tables import read
 
 
@@ -55,6 +55,10 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))[0]
 
 
+def op11_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
 def op12_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = alignment.vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     return alignment.report(read(spark, sf_dir, "documents"), files)
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_fair_queueing": op9_fair_queueing,
     "op10_importance_resampling": op10_importance_resampling,
+    "op11_label_propagation": op11_label_propagation,
     "op12_fragment_alignment": op12_fragment_alignment,
     "op13_incremental_witnesses": op13_incremental_witnesses,
     "pipeline": corpus_pipeline.run,
