@@ -6,7 +6,8 @@ and instances in rounds. A pattern is trusted as far as its instances are; an in
 identifier is trusted as far as its patterns are. Instances that end with enough trust are added.
 
 Candidates for new instances are words with at least MIN_DIGITS digits or an @ that overlap no base
-identifier. Texts are read once; the graph holds only contexts of such words.
+identifier; groups of digits that single spaces join are one candidate. Patterns are the two words before,
+the one word before, and one word on either side, so a cue among varying neighbours is a pattern too. Texts are read once; the graph holds only contexts of such words.
 
 Cases: a null text counts as empty, a document without identifiers has the digest of the empty string,
 texts are searched whole in linear time, repeated rows get equal results, rows without doc_id are
@@ -42,6 +43,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
+_GROUP = re.compile(r"[0-9()./-]++")
 _DIGIT = re.compile(r"[0-9]")
 _EDGE = "\"'`.,;:!?()[]{}<>=|*&%$#"
 
@@ -91,27 +93,46 @@ def _plain(word: str) -> str:
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: its two words before, and one word on either side."""
-    before = [_plain(w) for w in text[max(0, start - 100) : start].split()[-2:]]
-    after = [_plain(w) for w in text[end : end + 60].split()[:1]]
+    """Lexical patterns around a span: its two words before, the word before, and one word on either side.
+
+    Words that the context's ends cut are left out.
+    """
+    before = text[max(0, start - 100) : start].split()
+    if start > 100 and not text[start - 101].isspace():
+        before = before[1:] if text[start - 100 : start - 99].strip() else before
+    before = [_plain(w) for w in before[-2:]]
+    after = text[end : end + 60].split()
+    if len(text) > end + 60 and not text[end + 60].isspace() and text[end + 59 : end + 60].strip():
+        after = after[:-1]
+    after = [_plain(w) for w in after[:1]]
     if not before or not before[-1]:
         return []
-    return [f"{' '.join(before)} _"] + ([f"{before[-1]} _ {after[0]}"] if after and after[0] else [])
+    own = [f"{before[-1]} _"] + ([f"{' '.join(before)} _"] if len(before) > 1 else [])
+    return own + ([f"{before[-1]} _ {after[0]}"] if after and after[0] else [])
 
 
 def unknown_spans(text: str, known: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like words outside the known spans."""
+    """Identifier-like words outside the known spans; groups of digits that single spaces join are one."""
     taken = sorted((s, e) for _, s, e in known)
     i = 0
+    found: list[tuple[int, int, bool]] = []
     for m in _TOKEN.finditer(text):
         word = m[0]
-        if not _ANY.search(word) or ("@" not in word and len(_DIGIT.findall(word)) < MIN_DIGITS):
+        if not _ANY.search(word):
             continue
         start = m.start() + len(word) - len(word.lstrip(_EDGE))
         end = m.start() + len(word.rstrip(_EDGE))
         while i < len(taken) and taken[i][1] <= start:
             i += 1
-        if start < end and not any(s < end and e > start for s, e in taken[i : i + 8]):
+        if start >= end or any(s < end and e > start for s, e in taken[i : i + 8]):
+            continue
+        group = _GROUP.fullmatch(text, start, end) is not None
+        if group and found and found[-1][2] and text[found[-1][1] : start] in (" ", ") ", " (", ") ("):
+            found[-1] = (found[-1][0], end, True)
+        else:
+            found.append((start, end, group))
+    for start, end, _ in found:
+        if "@" in text[start:end] or len(_DIGIT.findall(text, start, end)) >= MIN_DIGITS:
             yield start, end
 
 

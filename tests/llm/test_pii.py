@@ -58,6 +58,29 @@ def test_contexts_of_known_numbers_find_unknown_ones(spark):
     assert "[PHONE]" in {r["doc_id"]: r["text"] for r in pii.redact(documents(spark, bootstrap_texts())).collect()}[50]
 
 
+def test_one_cue_among_varying_neighbours(spark):
+    words = "amber birch cedar dogwood elder fir gorse hazel iris juniper kale larch".split()
+    texts = {i: f"Some {w} prose. {w} {i} tel: +1 (017) 555-77{i:02d} {w[::-1]} and on." for i, w in enumerate(words)}
+    texts[50] = "Quite other text zeppelin tel: 020 7946 0958 whatever follows."
+    texts[51] = "In 2024 there were 1234 5678 rows here, and 555 more."
+    rows = {r["doc_id"]: r for r in pii.report(documents(spark, texts)).collect()}
+    at = texts[50].index("020")
+    assert rows[50]["spans"] == f"phone:{at}:{at + 13}" and rows[51]["spans"] == ""
+    assert "tel: [PHONE] whatever" in {r["doc_id"]: r["text"] for r in pii.redact(documents(spark, texts)).collect()}[50]
+
+
+def test_counts_equal_the_plain_patterns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    seen = 0
+    for r in pii.report(docs).collect():
+        spans = plain(text[r["doc_id"]])
+        assert [r[f"n_{kind}"] for kind, _ in PATTERNS] == [sum(k == j for k, _, _ in spans) for j in range(4)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{PATTERNS[k][0]}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
+        seen += len(spans)
+    assert seen > 50
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     rows = pii.report(docs).collect()
