@@ -9,7 +9,7 @@ range is closed where it is read and is not shuffled.
 A cut is a single space or line feed between two visible characters. No token of either tokenizer crosses it:
 the byte-level one starts a new piece there, and no piece of the other holds a space or line feed behind
 another character (`Tokenizers` checks that). What lies between two cuts is tokenized alone, and each
-distinct segment of a few MB of text once.
+distinct segment of a few MB of text once; a worker remembers frequent segments (bounded; results do not depend on it).
 
 Counts of linked ids are taken over documents packed in blocks: a block's distinct pairs are counted once,
 joined with the corpus's counts, and sent back to the block, so what is shuffled follows the distinct pairs
@@ -27,10 +27,10 @@ import os
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ FAN = 8
 #: A block of documents holds about as many bytes of text.
 BLOCK = 8 << 20
 #: Texts aligned in one pass over flat arrays hold about as many bytes.
-PASS = 6 << 20
+PASS = 3 << 20
 #: In a group with more links, each pair of different ids is counted, not listed.
 LARGE_GROUP = 4096
 
@@ -52,6 +52,10 @@ LARGE_GROUP = 4096
 #: A segment of visible ASCII and two-byte letters behind its space or line feed, and how many of them are tokenized together.
 _PLAIN = re.compile(rb"[ \n](?:[!-~]|[\xc3-\xdf][\x80-\xbf])+")
 TOGETHER = 64
+#: So many texts are given to a tokenizer in one call, whose own results take much memory.
+AT_ONCE = 256
+#: A worker remembers at most about so many segments.
+KNOWN = 150_000
 
 
 @dataclass
@@ -65,6 +69,15 @@ class Segments:
     pairs: np.ndarray
     times: np.ndarray
 
+    def take(self, chosen: np.ndarray) -> Segments:
+        wide = self.widths[chosen]
+        place = np.repeat((np.cumsum(self.widths) - self.widths)[chosen] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
+        return Segments(self.good[chosen], [self.said[i] for i in chosen.tolist()], self.sizes[chosen], wide, self.pairs[place], self.times[place])
+
+    def with_more(self, more: Segments) -> Segments:
+        arrays = {f: np.concatenate((getattr(self, f), getattr(more, f))) for f in ("good", "sizes", "widths", "pairs", "times")}
+        return Segments(said=self.said + more.said, **arrays)
+
 
 @dataclass
 class Fragment:
@@ -120,12 +133,16 @@ class Tokenizers:
         self.a_lengths, self.b_lengths = (np.array([len(k) for k in known], np.int64) for known in (self.a_bytes, self.b_bytes))
         self.marked_lengths = np.array([len(m) for m in self.marked], np.int64)
 
-    def tokens(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The ids of both tokenizers for texts that start with a space or line feed."""
+        if len(texts) > AT_ONCE:
+            parts = [self.tokens(texts[i : i + AT_ONCE]) for i in range(0, len(texts), AT_ONCE)]
+            return [x for p in parts for x in p[0]], [y for p in parts for y in p[1]]
         a = self.a.encode_batch_fast(texts, add_special_tokens=False)
         # The piece tokenizer puts a space before its input: the one that a text starts with, or one that goes again.
         b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-        return [x.ids for x in a], [y if t[0] == " " else y[1:] if y[:1] == [self.space] else [] for t, y in zip(texts, b)]
+        b = [y if t[0] == " " else y[1:] if y[:1] == [self.space] else [] for t, y in zip(texts, b)]
+        return [np.array(x.ids, np.int32) for x in a], [np.array(y, np.int32) for y in b]
 
     def sides(self, raw: list[bytes]) -> list[_Side]:
         """The tokens of each segment. Plain segments are tokenized many at a time: between any two of them is a cut."""
@@ -215,10 +232,9 @@ class _Side:
         self.ids, self.counts, self.segments = self.ids[np.repeat(own, self.counts)], self.counts[own], self.segments[own]
 
 
-def _flat(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _flat(lists: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All values of the lists, and the length of each."""
-    counts = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
+    return np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64), np.array([len(x) for x in lists], np.int64)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, of_group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,18 +287,38 @@ class Aligner:
     def __init__(self, byte_json: str, piece_model: bytes) -> None:
         self.made: tuple[str, bytes] = (byte_json, piece_model)
         self.tokenizers: Tokenizers | None = None
+        self.names = pa.array([], pa.large_binary())
+        self.known: Segments | None = None
 
-    def closed(self, texts: list[bytes]) -> Iterator[Fragment]:
-        """Fragments of byte strings that start and end at a cut."""
+    def segments(self, names: pa.Array, often: np.ndarray) -> Segments:
+        """The segments `names`, which occur `often`: remembered ones, and new ones by the tokenizers."""
         if self.tokenizers is None:
             self.tokenizers = Tokenizers(*self.made)
+        if self.known is None:
+            self.known = self.tokenizers.segments([])
+        at = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        fresh = names.take(pa.array(new))
+        at[new] = len(self.names) + np.arange(len(new))
+        every = self.known.with_more(self.tokenizers.segments(fresh.to_pylist()))
+        out = every.take(at)
+        # What occurs once in a few MB is not worth its place.
+        worth = new[often[new] > 1]
+        if len(self.names) + len(worth) > KNOWN:
+            self.names, self.known, worth = self.names.slice(0, 0), self.known.take(np.zeros(0, np.int64)), np.flatnonzero(often > 1)
+        self.names = pa.concat_arrays([self.names, names.take(pa.array(worth))])
+        self.known = self.known.with_more(out.take(worth))
+        return out
+
+    def closed(self, texts: list[bytes]) -> Iterator[Fragment]:
+        """Fragments of byte strings that start and end at a cut."""
         data = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         starts = np.unique(np.concatenate((cuts(data), offsets[:-1][np.diff(offsets) > 0])))
         bounds = np.append(starts, len(data)).astype(np.int64)
         coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        known = self.tokenizers.segments(coded.dictionary.to_pylist())
+        known = self.segments(coded.dictionary, np.bincount(codes, minlength=len(coded.dictionary)))
         first = np.searchsorted(starts, offsets)
         # Numbers of a text are differences of running sums over its segments.
         upto = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(known.sizes[codes], axis=0)))[first]
