@@ -89,13 +89,12 @@ def field_blob(fields: list[str]) -> Column:
     return F.lower(F.concat_ws(FIELD_BREAK, *[text_or_empty(f) for f in fields]))
 
 
-def any_field_contains(fields: list[str], needle: str) -> Column:
-    return F.contains(field_blob(fields), F.lit(needle.lower()))
+def field_values(fields: list[str]) -> list[Column]:
+    return [F.lower(text_or_empty(f)) for f in fields]
 
 
-def groups_match(blob: Column, groups: Column) -> Column:
-    """Every group has a (lower-case) spelling contained in the row text."""
-    return F.forall(groups, lambda g: F.exists(g, lambda s: F.contains(blob, s)))
+def any_field_contains(fields: list[str], needle: str) -> Column:
+    return F.contains(field_blob(fields), F.lit(needle.lower()))
 
 
 def lower_groups(groups: Column) -> Column:

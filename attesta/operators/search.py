@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.queries import (
     any_field_contains,
-    field_blob,
-    groups_match,
+    field_values,
     groups_or_raw,
     query_terms,
     search_condition,
@@ -40,6 +39,7 @@ from attesta.lexicons import (
 )
 from attesta.operators.joins import VERIFIED_ACCEPT, source_or_join
 from attesta.operators.release import Tables, evidence_tables, in_scope
+from attesta.operators.spelling import spelling_index, spellings_of
 from attesta.operators.stats import CLASS_RELEASE_FIELDS, offtarget_class
 from attesta.operators.windows import first_occurrence, top_per_group
 
@@ -125,43 +125,6 @@ def raw_count(
     return out.agg(F.count("*").alias("n"))
 
 
-MAX_BATCH = 1000  # queries held in one array value; larger batches are cut by hash
-
-
-def match_batch(
-    rows: DataFrame,
-    plans: DataFrame,
-    key: str,
-    text: Column,
-    condition: Callable[[Column, Column], Column],
-    row_columns: list[str],
-    result: Callable[[Column, Column], Column] | None = None,
-) -> DataFrame:
-    """The row columns of every row and plan for which `condition(plan, row text)` holds.
-
-    The output has the plan's `key`, or the fields of the struct `result(plan, row text)`. The plans of a
-    batch become one array value, so the rows are scanned once, without a join or a shuffle; only true
-    matches leave the scan. Batches above MAX_BATCH plans are cut by key hash.
-    """
-    keys = None
-    if result is None:
-        # Plans that ask for the same thing are matched once; their keys are joined back to the matches.
-        same = [c for c in plans.columns if c != key]
-        signed = plans.withColumn("_sig", F.sha2(F.to_json(F.struct(*same)), 256))
-        keys, key = signed.select(key, "_sig"), "_sig"
-        plans = signed.select("_sig", *same).distinct()
-    output = result or (lambda p, t: F.struct(p["_sig"].alias("_sig")))
-    parts = max(1, -(-plans.count() // MAX_BATCH))
-    results = []
-    for part in range(parts):
-        chunk = plans if parts == 1 else plans.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
-        batch = chunk.agg(F.collect_list(F.struct(*plans.columns))).scalar()
-        hits = let(text, lambda t: F.transform(F.filter("_batch", lambda p: condition(p, t)), lambda p: output(p, t)))
-        results.append(rows.withColumn("_batch", batch).select(F.inline(hits), *row_columns))
-    matched = reduce(DataFrame.unionByName, results)
-    return matched if keys is None else matched.join(keys, "_sig").select(keys.columns[0], *row_columns)
-
-
 def synonym_search(
     df: DataFrame,
     fields: list[str],
@@ -171,8 +134,9 @@ def synonym_search(
     stopwords: list[str] = SEARCH_STOPWORDS,
 ) -> DataFrame:
     """Search for a table of queries (query_id, q): one output row per (query, matching row)."""
-    parsed = queries.select("query_id", groups_or_raw("q", query_terms("q", synonyms, stopwords)).alias("groups"))
-    return match_batch(df, parsed, "query_id", field_blob(fields), lambda p, t: groups_match(t, p["groups"]), row_columns)
+    parsed = queries.select("query_id", groups_or_raw("q", query_terms("q", synonyms, stopwords)).alias("_groups"))
+    index = spelling_index(df.select(*dict.fromkeys([*row_columns, *fields])), field_values(fields), spellings_of(parsed, "_groups"))
+    return index.rows_of(parsed, "query_id", "_groups", row_columns)
 
 
 def list_sources(
@@ -482,19 +446,24 @@ def question_plan(questions: DataFrame, terms: list[QuestionTerm] = QUESTION_TER
 
 def ask_filter(view: DataFrame, questions: DataFrame, terms: list[QuestionTerm] = QUESTION_TERMS, targets: bool = True) -> DataFrame:
     """Release rows that answer each question, as (question_id, row columns)."""
-    plans = question_plan(questions, terms, targets)
-    target = F.lower(text_or_empty("target_gene_symbol"))
-
-    def answers(p: Column, t: Column) -> Column:
-        return (
-            ((p["domain"] == "") | (p["domain"] == F.col("evidence_domain")))
-            & ((F.size(p["grades"]) == 0) | F.array_contains(p["grades"], F.col("evidence_grade")))
-            & ((F.size(p["modalities"]) == 0) | F.array_contains(p["modalities"], F.col("modality")))
-            & ((p["target"] == "") | F.contains(target, p["target"]))
-            & groups_match(t, p["term_groups"]["synonyms"])
-        )
-
-    return match_batch(view, plans, "question_id", joined_lower(QUESTION_FIELDS), answers, view.columns)
+    plans = question_plan(questions, terms, targets).withColumns({f"_{c}": F.col(c) for c in ("domain", "grades", "modalities", "target")})
+    # The target must be in one of the searched fields before it is looked for in its own.
+    # A term of several words may run over the joint of two fields: its longest word is looked for, then the term in the joined text.
+    terms_of = F.col("term_groups")["synonyms"]
+    longest = lambda s: F.reduce(F.split(s, " "), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    several = F.filter(terms_of, lambda g: F.exists(g, lambda s: F.contains(s, F.lit(" "))))
+    wanted = F.concat(F.transform(terms_of, lambda g: F.transform(g, longest)), F.when(F.col("target") != "", F.array(F.array("target"))).otherwise(F.array().cast("array<array<string>>")))
+    plans = plans.select("question_id", "_domain", "_grades", "_modalities", "_target", wanted.alias("_groups"), several.alias("_several"))
+
+    answers = (
+        ((F.col("_domain") == "") | (F.col("_domain") == F.col("evidence_domain")))
+        & ((F.size("_grades") == 0) | F.array_contains("_grades", F.col("evidence_grade")))
+        & ((F.size("_modalities") == 0) | F.array_contains("_modalities", F.col("modality")))
+        & ((F.col("_target") == "") | F.contains(F.lower(text_or_empty("target_gene_symbol")), F.col("_target")))
+        & F.forall("_several", lambda g: F.exists(g, lambda s: F.contains(joined_lower(QUESTION_FIELDS), s)))
+    )
+    index = spelling_index(view, field_values(QUESTION_FIELDS), spellings_of(plans, "_groups"))
+    return index.rows_of(plans, "question_id", "_groups", view.columns, answers)
 
 
 def ask_summary(answers: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.functions.queries import joined_offtarget, query_terms
+from attesta.functions.queries import field_values, groups_or_raw, joined_offtarget, query_terms
 from attesta.functions.sequence import (
     canonical_sequence,
     has_ambiguous,
@@ -26,7 +26,6 @@ from attesta.functions.text import (
     GRADE_RANK,
     first_text,
     has_text,
-    let,
     node_id,
     rank_of,
     report_id,
@@ -35,7 +34,9 @@ from attesta.functions.text import (
     text_or_empty,
 )
 from attesta.lexicons import CONCERNS, SEARCH_STOPWORDS, SEARCH_SYNONYMS, Concern
-from attesta.operators.search import match_batch
+from attesta.operators.search import CANDIDATE_FIELDS as LISTED
+from attesta.operators.search import EVIDENCE_FIELDS
+from attesta.operators.spelling import spelling_index, spellings_of
 from attesta.operators.windows import first_occurrence, top_per_group
 from attesta.session import materialize
 
@@ -52,10 +53,6 @@ CONFIDENCE_VALUE = {"high_candidate": 3, "medium_candidate": 2, "low_candidate":
 STATES = ["evidence-supported concern", "contextual release evidence", "evidence gap", "not assessable from current release"]
 
 
-def row_text(fields: Sequence[str]) -> Column:
-    return F.concat_ws(" | ", *[joined_offtarget(f) for f in fields])
-
-
 def term_variants(
     terms: Column, synonyms: dict[str, list[str]] = SEARCH_SYNONYMS, stopwords: list[str] = SEARCH_STOPWORDS
 ) -> Column:
@@ -70,14 +67,15 @@ def term_variants(
     return F.array_distinct(F.filter(flat, lambda v: F.length(v) >= 2))
 
 
-def matched_variants(text: Column, variants: Column) -> Column:
-    return F.filter(variants, lambda v: F.contains(text, v))
+def matched_variants(found: Column, variants: Column) -> Column:
+    """The variants among the spellings found in a row, in their order."""
+    return F.filter(variants, lambda v: F.array_contains(found, v))
 
 
-def match_score(text: Column, variants: Column, target: Column) -> Column:
+def match_score(found: Column, variants: Column, target: Column) -> Column:
     """Matched distinct variants, plus 3 when the target is in the row."""
-    hits = F.size(matched_variants(text, variants))
-    return hits + F.when((target != "") & F.contains(text, target), F.lit(3)).otherwise(F.lit(0))
+    hits = F.size(matched_variants(found, variants))
+    return hits + F.when((target != "") & F.array_contains(found, target), F.lit(3)).otherwise(F.lit(0))
 
 
 def design_features(designs: DataFrame) -> DataFrame:
@@ -134,31 +132,33 @@ def triage_plans(
     )
 
 
-def _matches(rows: DataFrame, fields: list[str], plans: DataFrame, keep: list[str], with_target: bool) -> DataFrame:
-    """(design, concern, row) with score > 0: rows are scanned once for all plans, only scores and keys leave."""
-    batch = plans.select("plan_key", "design_id", "concern_id", "domain", "variants", "target")
-
-    def target(p: Column) -> Column:
-        return p["target"] if with_target else F.lit("")
-
-    def scored(p: Column, t: Column) -> Column:
-        on_target = (target(p) != "") & F.contains(t, target(p))
-
-        def parts(m: Column) -> Column:
-            shown = F.when(on_target & ~F.array_contains(m, target(p)), F.concat(m, F.array(target(p)))).otherwise(m)
-            return F.struct(
-                p["design_id"].alias("design_id"),
-                p["concern_id"].alias("concern_id"),
-                (F.size(m) + F.when(on_target, F.lit(3)).otherwise(F.lit(0))).alias("match_score"),
-                F.array_join(F.slice(shown, 1, 8), ", ").alias("matched_terms_shown"),
-            )
+def _best_matches(rows: DataFrame, fields: list[str], plans: DataFrame, order: list[Column], keep: list[str], with_target: bool, limit: int) -> DataFrame:
+    """The best `limit` rows per (design, concern) with score > 0, with their rank: by score, then by `order`.
 
-        return let(matched_variants(t, p["variants"]), parts)
-
-    hits = match_batch(
-        rows, batch, "plan_key", row_text(fields), lambda p, t: p["domain"] == F.col("evidence_domain"), keep, result=scored
-    )
-    return hits.filter("match_score > 0")
+    Rows of one domain and signature have one score, so the first of them by `order` are all that can be among the best.
+    """
+    target = F.col("target") if with_target else F.lit("")
+    wanted = plans.select(
+        "design_id", "concern_id", F.col("domain").alias("evidence_domain"), "plan_key", "variants", target.alias("_target"),
+        F.when(target != "", F.concat("variants", F.array(target))).otherwise(F.col("variants")).alias("_spellings"),
+    )
+    index = spelling_index(rows, [joined_offtarget(f) for f in fields], wanted.select(F.explode("_spellings").alias("spelling")))
+    on_target = (F.col("_target") != "") & F.array_contains("found", F.col("_target"))
+    shown = F.when(on_target & ~F.array_contains("_matched", F.col("_target")), F.concat("_matched", F.array("_target"))).otherwise(F.col("_matched"))
+    scored = (
+        index.sharing(wanted, "plan_key", "_spellings")
+        .join(wanted, "plan_key")
+        .withColumn("_matched", matched_variants(F.col("found"), F.col("variants")))
+        .select(
+            "design_id", "concern_id", "evidence_domain", "_sig",
+            match_score(F.col("found"), F.col("variants"), F.col("_target")).alias("match_score"),
+            F.array_join(F.slice(shown, 1, 8), ", ").alias("matched_terms_shown"),
+        )
+    )
+    first = top_per_group(index.signed(), ["evidence_domain", "_sig"], order, limit).select("_sig", *dict.fromkeys([*keep, "evidence_domain"]))
+    hits = first.join(scored, ["evidence_domain", "_sig"])
+    best = top_per_group(hits, ["design_id", "concern_id"], [F.desc("match_score"), *order], limit, rank_col="rank")
+    return best.select("design_id", "concern_id", "match_score", "matched_terms_shown", *keep, "rank")
 
 
 def concern_matches(plans: DataFrame, view: DataFrame, candidates: DataFrame, limit: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -168,25 +168,12 @@ def concern_matches(plans: DataFrame, view: DataFrame, candidates: DataFrame, li
     """
     record = F.concat_ws(":", "evidence_domain", F.col("evidence_id").cast("string"))
     keep = "record entity_table evidence_id evidence_domain evidence_grade canonical_name evidence_label pmid doi source_title source_url".split()
-    rows = view.withColumn("record", record)
-    group = ["design_id", "concern_id"]
-    release = top_per_group(
-        _matches(rows, RELEASE_FIELDS, plans, keep, True),
-        group,
-        [F.desc("match_score"), F.desc(rank_of("evidence_grade", GRADE_RANK, 0)), F.asc("record")],
-        limit,
-        rank_col="rank",
-    )
+    by_grade = [F.desc(rank_of("evidence_grade", GRADE_RANK, 0)), F.asc("record")]
+    release = _best_matches(view.withColumn("record", record), RELEASE_FIELDS, plans, by_grade, keep, True, limit)
     pool = candidates.filter(text_or_empty("curator_decision") != "accept")
     open_keep = ["id", "evidence_domain", "confidence_label", "matched_terms", "source_location", "pmid"]
-    gaps = top_per_group(
-        _matches(pool, CANDIDATE_FIELDS, plans, open_keep, False),
-        group,
-        [F.desc("match_score"), F.asc(rank_of("confidence_label", CONFIDENCE_VALUE, 0)), F.asc("id")],
-        limit,
-        rank_col="rank",
-    )
-    return release, gaps
+    by_confidence = [F.asc(rank_of("confidence_label", CONFIDENCE_VALUE, 0)), F.asc("id")]
+    return release, _best_matches(pool, CANDIDATE_FIELDS, plans, by_confidence, open_keep, False, limit)
 
 
 def evidence_state(plans: DataFrame, release: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -269,10 +256,6 @@ def sequence_search(designs: DataFrame, view: DataFrame, candidates: DataFrame,
     The query is the first four of target, modification, endpoint and the seed words; without a release hit
     the target alone is searched. Candidates must contain the raw first term.
     """
-    from attesta.functions.queries import field_blob, groups_match, groups_or_raw
-    from attesta.operators.search import CANDIDATE_FIELDS as LISTED
-    from attesta.operators.search import EVIDENCE_FIELDS
-
     featured = design_features(designs)
     words = F.filter(F.array("target", "modification", "endpoint"), lambda t: t != "")
     seeded = F.when(F.col("seed") != "", F.array(*[F.lit(t) for t in ("seed", "off-target", "hybridization", "mismatch")])).otherwise(
@@ -287,22 +270,22 @@ def sequence_search(designs: DataFrame, view: DataFrame, candidates: DataFrame,
         return groups_or_raw(text, query_terms(text, synonyms, stopwords))
 
     plans = featured.select(
-        "design_id", groups(q).alias("groups"), F.lower("target").alias("target"),
-        F.when(F.col("target") != "", groups(F.col("target"))).alias("fallback"), F.lower(raw).alias("raw"),
+        "design_id", groups(q).alias("groups"), F.lower("target").alias("_target"),
+        F.when(F.col("target") != "", groups(F.col("target"))).alias("fallback"), F.array(F.array(F.lower(raw))).alias("raw"),
     )
-    blob, row_target = field_blob(EVIDENCE_FIELDS), F.lower(text_or_empty("target_gene_symbol"))
-    keep = ["evidence_domain", "evidence_id"]
     order = [F.desc("evidence_domain"), F.asc("evidence_id")]
-    main = match_batch(
-        view, plans.select("design_id", "groups", "target"), "design_id", blob,
-        lambda p, t: groups_match(t, p["groups"]) & ((p["target"] == "") | F.contains(row_target, p["target"])), keep,
-    )
+    wanted = spellings_of(plans, "groups").unionByName(spellings_of(plans.filter("fallback IS NOT NULL"), "fallback"))
+    index = spelling_index(view, field_values(EVIDENCE_FIELDS), wanted)
+
+    on_target = (F.col("_target") == "") | F.contains(F.lower(text_or_empty("target_gene_symbol")), F.col("_target"))
+    keep = ["evidence_domain", "evidence_id"]
+    main = index.rows_of(plans.select("design_id", "groups", "_target"), "design_id", "groups", keep, on_target)
     found = top_per_group(main, ["design_id"], order, limit, rank_col="position")
     again = plans.filter("fallback IS NOT NULL").join(found.select("design_id").distinct(), "design_id", "left_anti")
-    second = match_batch(view, again.select("design_id", "fallback"), "design_id", blob, lambda p, t: groups_match(t, p["fallback"]), keep)
+    second = index.rows_of(again.select("design_id", "fallback"), "design_id", "fallback", keep)
     release = found.unionByName(top_per_group(second, ["design_id"], order, limit, rank_col="position"))
     pool = candidates.withColumn("_rank", rank_of("confidence_label", CONFIDENCE_RANK, 2))
-    gaps = match_batch(pool, plans.select("design_id", "raw"), "design_id", field_blob(LISTED), lambda p, t: F.contains(t, p["raw"]), ["id", "_rank"])
+    gaps = spelling_index(pool, field_values(LISTED), spellings_of(plans, "raw")).rows_of(plans.select("design_id", "raw"), "design_id", "raw", ["id", "_rank"])
     opened = top_per_group(gaps, ["design_id"], [F.asc("_rank"), F.asc("id")], limit, rank_col="position")
     return release.select("design_id", F.lit("release").alias("kind"), F.col("evidence_id").alias("id"), "position").unionByName(
         opened.select("design_id", F.lit("candidate").alias("kind"), "id", "position")

@@ -14,7 +14,7 @@ from attesta.functions import sequence, text
 from attesta.functions.queries import parse_terms, query_terms
 from attesta.functions.redaction import redact_value, sensitive_columns
 from attesta.lexicons import OFFTARGET_CLASSES, QUESTION_TERMS, SEARCH_SYNONYMS
-from attesta.operators import curation, genes, metrics, mining, redact, rules, search, stats, triage, windows
+from attesta.operators import curation, genes, metrics, mining, redact, rules, search, spelling, stats, triage, windows
 from attesta.sources import tables as io
 from attesta.sources.schema import TABLES
 from attesta.streaming.append import append_stream, document_stream
@@ -397,12 +397,21 @@ def test_evidence_states(spark):
     assert got == {"a": 0, "b": 1, "c": 2, "x": 3}
 
 
-def test_match_batch_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(search, "MAX_BATCH", 3)
-    queries = spark.createDataFrame([(f"q{i}", f"w{i}") for i in range(10)], "query_id string, q string")
-    data = spark.createDataFrame([(i, f"x w{i} y") for i in range(10)], "id long, t string")
-    got = search.synonym_search(data, ["t"], queries, ["id"])
-    assert sorted(rows(got)) == sorted((f"q{i}", i) for i in range(10))
+def test_spelling_index_equals_plain_search(spark):
+    draw = random.Random(7)
+    words = ["ab", "a", "abc", "bca", "é", "x-1", "cab c", "b", "", "zz", "abcab", "日本"]
+    texts = [(i, *(" ".join(draw.choice(words) for _ in range(draw.randint(0, 4))) for _ in range(2))) for i in range(120)]
+    plans = [(f"p{i}", [[draw.choice(words) for _ in range(draw.randint(1, 3))] for _ in range(draw.randint(0, 3))]) for i in range(40)]
+    data = spark.createDataFrame(texts + [(500, None, None)], "id long, t string, u string")
+    asked = spark.createDataFrame(plans, "p string, groups array<array<string>>")
+    index = spelling.spelling_index(data, [F.coalesce(c, F.lit("")) for c in ("t", "u")], spelling.spellings_of(asked, "groups"))
+    got = sorted(rows(index.rows_of(asked, "p", "groups", ["id"])))
+    want = sorted((p, i) for p, groups in plans for i, t, u in [*texts, (500, "", "")] if all(any(s in t or s in u for s in g) for g in groups))
+    assert got == want and 500 in {i for _, i in got}
+    many = spark.createDataFrame([(f"q{i}", f"w{i}") for i in range(2500)], "query_id string, q string")
+    numbered = spark.createDataFrame([(i, f"x w{i} y") for i in range(2500)], "id long, t string")
+    hits = search.synonym_search(numbered, ["t"], many, ["id"])
+    assert hits.count() == sum(str(i).startswith(str(j)) for i in range(2500) for j in range(2500) if i // 10 ** max(0, len(str(i)) - len(str(j))) == j)
 
 
 def test_streaming_append_is_incremental(spark):
