@@ -360,6 +360,27 @@ def test_gene_vocabularies_are_whole(spark):
     assert got == {1: {"F7", "FVII"}, 2: {"AR"}, 3: {"TTR"}, 4: set()}
 
 
+def test_wording_that_names_targets(spark):
+    cases = {
+        "The intended target gene is MAPT here": ["MAPT"], "The intended target is HTT.": ["HTT"], "MAPT is the only differential transcript": ["MAPT"],
+        "MAPT are the only differentially changed": ["MAPT"], "off-target HTT silencing was seen": [], "unintended MAPT knockdown": [],
+        "HTT knockdown and MAPT fell": ["HTT"], "anti-MAPT and siHTT": ["MAPT"], "against the on-target miR-17 only": ["MIR-17"], "BCL-XL ASO": ["BCL-XL"],
+        "effects on HTT, HTT HTT": ["HTT"], "potential off-targets MAPT": [], "MAPT, HTT, MCL-1": [], "": [],
+    }
+    known = tuple(k for k in genes.GeneLexicon().known if len(k) >= 3)
+    assert {"MAPT", "HTT", "MIR-17", "BCL-XL", "MCL-1"} <= set(known)
+    df = spark.createDataFrame([(q,) for q in cases], "q string").select("q", genes.targets_by_wording(F.col("q"), known).alias("t"))
+    assert {r["q"]: sorted(r["t"]) for r in df.collect()} == {q: sorted(t) for q, t in cases.items()}
+
+
+def test_names_with_hyphens_and_two_affixes(spark):
+    names = [("a", "BCL-XL", ["BCL-XL"]), ("b", "anti-MCL-1", ["MCL-1"]), ("c", "siIGF1R-1", ["IGF1R"]), ("d", "ASO-siHTT", ["HTT"]), ("e", "TNRC6; GW182; AGO2", []), ("f", "siF12", ["F12", "FXII"])]
+    df = spark.createDataFrame([(i, n) for i, n, _ in names], "id string, canonical_name string").withColumn("target_gene_symbol", F.lit(None).cast("string"))
+    got = {r["id"]: set(r["t"]) for r in df.select("id", genes.intended_targets().alias("t")).collect()}
+    known = set(genes.GeneLexicon().known)
+    assert got == {i: {x for x in t if x in known or x in ("F12", "FXII")} for i, _, t in names} and got["a"] == {"BCL-XL"} and got["b"] == {"MCL-1"}
+
+
 def test_intended_targets(spark):
     df = spark.createDataFrame(
         [(1, "TTR; f12", "x"), (2, None, "siIGF1R-1"), (3, "", "TNRC6; GW182; AGO2"), (4, "", "TMEM16a"), (5, "", "ARL4C-targeting ASO")],
