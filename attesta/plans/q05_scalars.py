@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +17,7 @@ from attesta.plans.registry import query
 from attesta.session import checkpoint_dir
 from attesta.sources import tables as io
 from attesta.sources.adapters import evidence_tables, raw_table, text_table
+from attesta.sources.schema import TABLES
 
 
 def _docs(spark, sf_dir):
@@ -314,15 +318,40 @@ def _(spark, sf_dir):
     )
 
 
+# Columns of the data model that the test tables do not fill.
+_ABSENT = set(
+    "molecule.created_at assay.replicate_count assay.source_document_id assay.source_location toxicity_endpoint.measured_value "
+    "toxicity_endpoint.measured_unit toxicity_endpoint.direction toxicity_endpoint.significance_label offtarget_evidence.offtarget_gene_symbol "
+    "offtarget_evidence.offtarget_transcript_id offtarget_evidence.measured_effect offtarget_evidence.effect_unit "
+    "offtarget_evidence.seed_match_length benchmark_split.created_at".split()
+)
+
+
+def _filled(table: str) -> list[T.StructField]:
+    return [f for f in TABLES[table].fields if f"{table}.{f.name}" not in _ABSENT]
+
+
+def _row_code_sql(table: str, blank: bool = False) -> str:
+    """The row code of a table; `blank` takes '' as null, as exports do."""
+    tags = {"string": "s", "int": "i", "bigint": "i", "double": "f"}
+    said = "CASE WHEN {c} IS NULL THEN 'n' ELSE '{t}' || strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    name = lambda f: f"nullif({f.name}, '')" if blank and tags[f.dataType.simpleString()] == "s" else f.name
+    return " || ".join(said.format(c=name(f), t=tags[f.dataType.simpleString()]) for f in _filled(table))
+
+
+def _fingerprint_sql(table: str, blank: bool = False) -> str:
+    return f"""count(*) AS n, concat_ws(':', CAST(coalesce(sum(('0x' || substr(h, 1, 16))::UBIGINT), 0) AS VARCHAR),
+      CAST(coalesce(sum(('0x' || substr(h, 17, 16))::UBIGINT), 0) AS VARCHAR)) AS hash_sum FROM (SELECT md5({_row_code_sql(table, blank)}) AS h FROM {table})"""
+
+
 @query(
     "table_fingerprint",
-    """SELECT 'documents' AS table_name, count(*) AS n, CAST(sum(('0x' || substr(sha256(concat_ws('|', CAST(doc_id AS VARCHAR), lang, source, text)), 1, 8))::BIGINT) AS VARCHAR) AS hash_sum FROM documents
-      UNION ALL SELECT 'molecule', count(*), CAST(sum(('0x' || substr(sha256(concat_ws('|', CAST(id AS VARCHAR), canonical_name, coalesce(guide_sequence, ''))), 1, 8))::BIGINT) AS VARCHAR) FROM molecule""",
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, {_fingerprint_sql(t)}" for t in TABLES),
 )
 def _(spark, sf_dir):
-    docs = io.table_fingerprint(_docs(spark, sf_dir), ["doc_id", "lang", "source", "text"])
-    molecule = io.table_fingerprint(evidence_tables(spark, sf_dir)["molecule"], ["id", "canonical_name", "guide_sequence"])
-    return docs.withColumn("table_name", F.lit("documents")).unionByName(molecule.withColumn("table_name", F.lit("molecule")))
+    tables = evidence_tables(spark, sf_dir)
+    marks = [io.table_fingerprint(tables[t], [f.name for f in _filled(t)]).withColumn("table_name", F.lit(t)) for t in TABLES]
+    return reduce(DataFrame.unionByName, marks)
 
 
 @query(
@@ -446,22 +475,22 @@ def _export_dir(spark) -> str:
 
 @query(
     "refresh_exports",
-    """SELECT 'curation_candidate' AS table_name, 'csv' AS form, count(*) AS n FROM curation_candidate
-      UNION ALL SELECT 'curation_candidate', 'json', count(*) FROM curation_candidate
-      UNION ALL SELECT 'source_manifest', 'csv', count(*) FROM source_document""",
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{form}' AS form, {_fingerprint_sql(t, True)}" for t in io.EXPORTED for form in ("csv", "json"))
+    + " UNION ALL SELECT 'source_manifest', 'csv', count(*), NULL FROM source_document",
 )
 def _(spark, sf_dir):
-    from attesta.operators.joins import union_all
-
-    tables, out = evidence_tables(spark, sf_dir), _export_dir(spark)
-    io.refresh_exports(tables, out, ["curation_candidate"])
-    schema = tables["curation_candidate"].schema
-    forms = [
-        ("curation_candidate", "csv", io.read_csv(spark, f"{out}/curation_candidate_csv", schema, multi_line=True)),
-        ("curation_candidate", "json", io.read_jsonl(spark, f"{out}/curation_candidate_json", schema)),
-        ("source_manifest", "csv", spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{out}/source_manifest_csv")),
+    """Every exported table in both forms, by content, read from the published version."""
+    out = _export_dir(spark)
+    io.publish_exports(evidence_tables(spark, sf_dir), out)
+    at = io.current_export(spark, out)
+    marks = [
+        io.table_fingerprint(io.read_export(spark, at, t, form)).select(F.lit(t).alias("table_name"), F.lit(form).alias("form"), "n", "hash_sum")
+        for t in io.EXPORTED
+        for form in ("csv", "json")
     ]
-    return union_all(*[df.agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), F.lit(f).alias("form"), "n") for t, f, df in forms])
+    listed = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{at}/source_manifest_csv")
+    count = listed.agg(F.count("*").alias("n")).select(F.lit("source_manifest").alias("table_name"), F.lit("csv").alias("form"), "n", F.lit(None).cast("string").alias("hash_sum"))
+    return reduce(DataFrame.unionByName, [*marks, count])
 
 
 @query("read_jsonl", "SELECT id, pmid, evidence_domain, matched_terms, confidence_label FROM curation_candidate")

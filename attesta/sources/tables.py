@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,11 +103,33 @@ def publish_manifest_filter(manifest: DataFrame, column: str, keys: list[str] |
     return kept.select(*cols) if cols else kept
 
 
-def table_fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(rows, hash_sum): the sum of 32-bit row hashes, so the order of rows does not matter."""
-    text = F.concat_ws("|", *[text_or_empty(c) for c in cols])
-    word = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(word), F.lit(0)).cast("string").alias("hash_sum"))
+def _type_tag(kind: T.DataType) -> str:
+    """One letter for the kind of a value, so that 1 and '1' differ."""
+    tags = {T.StringType: "s", T.BooleanType: "b", T.FloatType: "f", T.DoubleType: "f", T.DecimalType: "f", T.BinaryType: "x", T.ByteType: "i", T.ShortType: "i", T.IntegerType: "i", T.LongType: "i"}
+    return tags.get(type(kind), "j" if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else "o")
+
+
+def row_code(df: DataFrame, cols: list[str]) -> Column:
+    """A text that no other row of values has: each value with the letter of its kind and its length, `n` for null."""
+
+    def said(name: str) -> Column:
+        column, kind = F.col(f"`{name}`"), df.schema[name].dataType
+        tag = _type_tag(kind)
+        text = F.to_json(F.struct(column)) if tag == "j" else F.hex(column) if tag == "x" else column.cast("string")
+        return F.coalesce(F.when(column.isNotNull(), F.concat(F.lit(tag), F.octet_length(text).cast("string"), F.lit(":"), text)), F.lit("n"))
+
+    return F.concat(*[said(c) for c in cols])
+
+
+def table_fingerprint(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """(n, hash_sum): row count, and the sums of both 64-bit halves of the rows' hashes.
+
+    Sums commute, so neither the order nor the partitioning of rows matters, and repeated rows count; tables can be
+    fingerprinted in parts and added up.
+    """
+    word = F.md5(row_code(df, cols or df.columns))
+    halves = [F.coalesce(F.sum(F.conv(F.substring(word, at, 16), 16, 10).cast("decimal(20,0)").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").cast("string") for at in (1, 17)]
+    return df.agg(F.count("*").alias("n"), F.concat_ws(":", *halves).alias("hash_sum"))
 
 
 def export_review_template(candidates: DataFrame) -> DataFrame:
@@ -259,15 +282,54 @@ def protocol_snapshot(spark: SparkSession, counts: DataFrame, path: str) -> Data
     return spark.read.parquet(path)
 
 
+EXPORTED = ("source_document", "curation_queue", "curation_candidate")
+
+
+def read_export(spark: SparkSession, version: str, name: str, form: str) -> DataFrame:
+    """One exported table of a version folder, typed, blank as null."""
+    path = f"{version}/{name}_{form}"
+    table = read_csv(spark, path, TABLES[name], multi_line=True) if form == "csv" else read_jsonl(spark, path, TABLES[name])
+    return blank_to_null(table)
+
+
+def current_export(spark: SparkSession, out_dir: str) -> str:
+    """The version folder that was published last."""
+    return spark.read.schema("version string").json(f"{out_dir}/current").first()["version"]
+
+
 def refresh_exports(tables: Tables, out_dir: str, names: list[str] | None = None) -> None:
-    """Write the curation tables as CSV and JSON lines, and the source manifest as CSV; one job per file set."""
-    for name in names or ["source_document", "curation_queue", "curation_candidate"]:
+    """Write the curation tables as CSV and JSON lines, and the source manifest as CSV, in place; one job per file set."""
+    for name in names or EXPORTED:
         tables[name].write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{out_dir}/{name}_csv")
         tables[name].write.mode("overwrite").json(f"{out_dir}/{name}_json")
     manifest = source_manifest(tables["source_document"])
     manifest.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{out_dir}/source_manifest_csv")
 
 
+def publish_exports(tables: Tables, out_dir: str, names: list[str] | None = None) -> str:
+    """Publish the curation tables as CSV and JSON lines, and the source manifest as CSV; the new version's folder.
+
+    Files are written beside the published ones, read again and compared with the tables by content; only then the
+    entry `current` names the new version. A run that fails before leaves the published version whole.
+    """
+    spark = tables["source_document"].sparkSession
+    version = f"{out_dir}/version-{uuid.uuid4().hex}"
+    marks = []
+    for name in names or EXPORTED:
+        table = tables[name].select(*[f.name for f in TABLES[name].fields])
+        table.write.option("header", True).option("escape", '"').csv(f"{version}/{name}_csv")
+        table.write.json(f"{version}/{name}_json")
+        forms = {"table": blank_to_null(table)} | {form: read_export(spark, version, name, form) for form in ("csv", "json")}
+        marks += [table_fingerprint(df).select(F.lit(name).alias("name"), F.lit(form).alias("form"), "n", "hash_sum") for form, df in forms.items()]
+    source_manifest(tables["source_document"]).write.option("header", True).option("escape", '"').csv(f"{version}/source_manifest_csv")
+    unequal = reduce(DataFrame.unionByName, marks).groupBy("name").agg(F.count_distinct("n", "hash_sum").alias("kinds")).where("kinds > 1")
+    wrong = [r["name"] for r in unequal.collect()]  # one row per exported table
+    if wrong:
+        raise ValueError(f"exports differ from their tables: {sorted(wrong)}")
+    spark.createDataFrame([(version,)], "version string").write.mode("overwrite").json(f"{out_dir}/current")
+    return version
+
+
 def table_schema(name: str) -> T.StructType:
     return TABLES[name]
 

@@ -435,6 +435,24 @@ def test_spelling_index_equals_plain_search(spark):
     assert hits.count() == sum(str(i).startswith(str(j)) for i in range(2500) for j in range(2500) if i // 10 ** max(0, len(str(i)) - len(str(j))) == j)
 
 
+def test_fingerprints_tell_rows_apart(spark):
+    mark = lambda rows, schema="a string, b string": io.table_fingerprint(spark.createDataFrame(rows, schema)).first()
+    assert mark([("a|b", "c")]) != mark([("a", "b|c")]) and mark([("a", None)]) != mark([("a", "")]) and mark([("1", "1")]) != mark([("1", 1)], "a string, b int")
+    assert mark([("a", "b"), ("c", "d")]) == mark([("c", "d"), ("a", "b")]) != mark([("a", "b")] * 2)
+    assert tuple(mark([])) == (0, "0:0")
+
+
+def test_failed_refresh_leaves_the_published_export(spark, monkeypatch):
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    made = {n: spark.createDataFrame([tuple(1 if f.dataType.simpleString() in ("bigint", "int") else 'x "y",\nz' for f in TABLES[n].fields)], TABLES[n]) for n in io.EXPORTED}
+    first = io.publish_exports(made, base)
+    assert io.current_export(spark, base) == first and rows(io.read_export(spark, first, "curation_queue", "csv")) == rows(made["curation_queue"])
+    monkeypatch.setattr(io, "read_export", lambda spark, at, name, form: made[name].limit(0))
+    with pytest.raises(ValueError, match="differ"):
+        io.publish_exports(made, base)
+    assert io.current_export(spark, base) == first
+
+
 def test_streaming_append_is_incremental(spark):
     base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     docs = spark.createDataFrame([(i, f"Title {i}", "siRNA toxic risk seen. More.") for i in range(6)], "source_document_id long, title string, text string")
