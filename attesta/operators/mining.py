@@ -269,6 +269,13 @@ def anchor_join(rows: DataFrame, anchors: DataFrame, key: str = "page_id") -> Da
     return joined.select("row_id", key, pick("position"), pick("location"), pick("anchor_hash"), pick("window_text"), hit.alias("hash_exact")).filter("position IS NOT NULL")
 
 
+def mark_exact(passages: DataFrame, wanted: DataFrame, key: str = "page_id") -> DataFrame:
+    """Add hash_exact: whether a row of `wanted` names the passage by its hash (an equi join on document and hash)."""
+    named = wanted.select(key, null_if_blank("source_anchor_hash").alias("anchor_hash")).where("anchor_hash IS NOT NULL").distinct()
+    joined = passages.join(named.withColumn("_named", F.lit(True)), [key, "anchor_hash"], "left")
+    return joined.withColumn("hash_exact", F.coalesce("_named", F.lit(False))).drop("_named")
+
+
 def context_score(ctx: DataFrame, rules: Sequence[Score]) -> DataFrame:
     """Add the score of each context; an exact hash match counts by its own rule in the table."""
     return ctx.withColumn("score", score(rules))

@@ -248,14 +248,34 @@ _WANTED = """wnt AS (SELECT p.page_id AS row_id, p.page_id, CASE WHEN p.page_id
 )
 def _(spark, sf_dir):
     anchors = _anchors(spark, sf_dir)
+    return mining.anchor_join(_wanted(spark, sf_dir, anchors), anchors)
+
+
+@query(
+    "context_score_exact",
+    f"""WITH {ANCHORS}, {_WANTED}, u AS (SELECT anc.page_id, position, {_SCORE} AS plain, anchor_hash = h AND h <> '' AS hash_exact FROM anc JOIN wnt ON wnt.page_id = anc.page_id),
+      r AS (SELECT *, plain + CASE WHEN hash_exact THEN 10 ELSE 0 END AS score, row_number() OVER (PARTITION BY page_id ORDER BY plain DESC, position) AS before FROM u)
+      SELECT page_id, position, score, hash_exact, before = 1 AS wins_without FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, position) AS rn FROM r) WHERE rn = 1""",
+)
+def _(spark, sf_dir):
+    """The best passage of every page when a hash match counts, and whether it would win without."""
+    anchors = _anchors(spark, sf_dir)
+    marked = mining.mark_exact(anchors, _wanted(spark, sf_dir, anchors))
+    plain = mining.first_occurrence(mining.context_score(anchors, _RULES), "page_id", [F.desc("score"), F.asc("position")])
+    scored = mining.context_score(marked, [*_RULES, Score(10, "hash_exact", "^true$")])
+    best = mining.first_occurrence(scored, "page_id", [F.desc("score"), F.asc("position")])
+    winners = plain.select("page_id", F.col("position").alias("_plain"))
+    return best.join(winners, "page_id").select("page_id", "position", "score", "hash_exact", (F.col("position") == F.col("_plain")).alias("wins_without"))
+
+
+def _wanted(spark, sf_dir, anchors):
     first = anchors.filter("position = 1").select("page_id", F.col("location").alias("wanted_location"))
     second = anchors.filter("position = 2").select("page_id", F.col("anchor_hash").alias("_h2"))
     rows = text_table(spark, sf_dir, "pages", "page_id").select("page_id").join(first, "page_id", "left").join(second, "page_id", "left")
-    wanted = rows.select(
+    return rows.select(
         F.col("page_id").alias("row_id"), "page_id", F.coalesce("wanted_location", F.lit("")).alias("wanted_location"),
         F.when(F.col("page_id") % 2 == 0, F.coalesce("_h2", F.lit(""))).otherwise("missing").alias("source_anchor_hash"),
     )
-    return mining.anchor_join(wanted, anchors)
 
 
 # --- rule tables over the sentences of the test prose ---------------------------------------------------

@@ -95,6 +95,7 @@ SCORES_TERMS = [
     Score(2, "text", terms=("we observed", "we found", "we evaluated", "we measured", "well tolerated", "rna-seq", "mice", "patients", "clinical trial")),
     Score(6, "text", terms=tuple(SAFETY), domain="toxicity"),
     Score(8, "text", terms=tuple(OFFTARGET), domain="offtarget"),
+    Score(10, "hash_exact", "^true$"),
     Score(12, "location", RESULTS_PLACE),
     Score(2, "location", r"\bAbstract\b"),
     Score(-10, "location", INTRODUCTION),
@@ -103,6 +104,7 @@ SCORES_TERMS = [
 ]
 # Pattern scoring with the place of the passage.
 SCORES_PATTERNS = [
+    Score(20, "hash_exact", "^true$"),
     Score(4, "source_kind", "^full_text$"),
     Score(12, "location", RESULTS_PLACE + "|Methods?"),
     Score(12, "location", r"\bSafety|Toxicity|Cytotoxicity|Off-target|Off target|Specificity"),
