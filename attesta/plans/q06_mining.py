@@ -8,7 +8,7 @@ from attesta.lexicons import QueueTask
 from attesta.operators import mining, rules
 from attesta.operators.rules import Label, Reject, Score, any_word, has, lacks
 from attesta.plans.registry import query
-from attesta.rulesets import ATTRIBUTES, ATTRIBUTES_OFFTARGET, anchor_scores
+from attesta.rulesets import ATTRIBUTES, ATTRIBUTES_OFFTARGET, GRADES_COMPUTATIONAL, anchor_scores
 from attesta.sources.adapters import evidence_tables, raw_table, text_table
 
 # Test vocabulary: words of the test prose.
@@ -395,6 +395,29 @@ def _(spark, sf_dir):
     return graded.groupBy("source_kind", "location", "grade").agg(F.count("*").alias("n"))
 
 
+@query(
+    "grade_rules_computational",
+    f"""WITH {CTX}, g AS (SELECT row_id, position, row_id % 7 = 0 AS computed, row_id % 4 = 0 AS abstract, CASE WHEN position > 8 THEN 'Methods' ELSE location END AS place,
+        lower(text || CASE row_id % 5 WHEN 0 THEN ' was well tolerated' WHEN 1 THEN ' off-target' WHEN 2 THEN ' subclinical' ELSE '' END) AS t FROM ctx)
+      SELECT row_id, position, CASE WHEN computed THEN 'C'
+        WHEN abstract AND regexp_matches(t, '(?:^|[^\\p{{L}}\\p{{N}}_])clinical|phase|patient|well tolerated|adverse|off-target(?:[^\\p{{L}}\\p{{N}}_]|$)') THEN 'B'
+        WHEN abstract OR place IN ('Introduction', 'Discussion') THEN 'C' WHEN place = 'Results' THEN 'A' ELSE 'B' END AS grade FROM g""",
+)
+def _(spark, sf_dir):
+    """The shipped grade table over whole sentences with words appended; computed evidence is grade C."""
+    row = F.col("row_id")
+    added = F.when(row % 5 == 0, " was well tolerated").when(row % 5 == 1, " off-target").when(row % 5 == 2, " subclinical").otherwise("")
+    rows = _contexts(spark, sf_dir).withColumns(
+        {
+            "is_computational_prediction": (row % 7 == 0).cast("int"),
+            "source_kind": F.when(row % 4 == 0, "abstract").otherwise("full_text"),
+            "location": F.when(F.col("position") > 8, "Methods").otherwise(F.col("location")),
+            "text": F.concat("text", added),
+        }
+    )
+    return rows.select("row_id", "position", rules.first_match(GRADES_COMPUTATIONAL, "C").alias("grade"))
+
+
 @query(
     "benchmark_eligible",
     f"""WITH {CTX}, {cascade_sql()} SELECT location, grade IN ('A', 'B') AND source_kind = 'en' AND NOT regexp_matches(location, 'Introduction|Discussion|Conclusion') AS eligible, count(*) AS n FROM dcd GROUP BY ALL""",
