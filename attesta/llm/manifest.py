@@ -101,7 +101,9 @@ def _blocks(nodes: DataFrame, arity: int, levels: int) -> DataFrame:
             block = block.append_column(name, values)
         return block
 
-    return nodes.groupBy("tree", F.floor(F.col("pos") / arity**levels).alias("_block")).applyInArrow(build, schema)
+    # One key made of both: rows that lie by tree must be dealt anew, or all blocks of a large tree would be one task's.
+    block_key = F.concat(F.floor(F.col("pos") / arity**levels).cast("string"), F.lit(":"), F.col("tree"))
+    return nodes.groupBy(block_key.alias("_block")).applyInArrow(build, schema)
 
 
 @dataclass
