@@ -12,8 +12,9 @@ and not their windows. Windows under a shared symbol that nothing settles are co
 independent hashes of their words, of 64 and 32 bits.
 
 Cases: a null text has no words, texts of fewer than 13 words lose nothing, very long texts are cut whole,
-repeated rows do not count as each other's earlier document, rows without doc_id lose nothing and are no
-reason for others to lose words, an empty table gives no rows, and other columns are not read.
+repeated rows do not count as each other's earlier document, different texts under one doc_id neither (each
+is a document of its own, told apart by a 64-bit hash of the text), rows without doc_id lose nothing and are
+no reason for others to lose words, an empty table gives no rows, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ def parse(column: pa.Array) -> Parse:
 
 
 def symbol_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, name and check of the symbols that windows are filed under (check 0) and of the long ones (check: a second hash)."""
+    """doc_id, twin (hash of the text), name and check of the symbols that windows are filed under (check 0) and of the long ones (check: a second hash)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in columns.blocks(batches, "text"):
@@ -162,51 +163,71 @@ def symbol_rows(docs: DataFrame) -> DataFrame:
             second = columns.span_hashes(p.words.hashes(_BASE2), p.long.start, p.long.end, _BASE2)
             name = np.concatenate((p.filed[at], p.long.name | _U(1))).view(np.int64)
             check = np.concatenate((np.zeros(len(at), np.uint64), second)).view(np.int64)
-            owner = ids[np.concatenate((text[at], p.long.text))]
-            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(name), pa.array(check)], ["doc_id", "name", "check"])
+            twins = block.column("twin").to_numpy()
+            owner = np.concatenate((text[at], p.long.text))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner], pa.int64()), pa.array(twins[owner]), pa.array(name), pa.array(check)], ["doc_id", "twin", "name", "check"])
 
-    return docs.mapInArrow(each, "doc_id long, name long, check long")
+    return docs.mapInArrow(each, "doc_id long, twin long, name long, check long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], shift: int = 0):
-    """For each batch sorted by keys and doc_id: rows behind a smaller doc_id of their group, and groups that turn out shared.
+def _starts(batch: pa.RecordBatch, keys: list[str], shift: int, held) -> tuple[np.ndarray, list[np.ndarray], bool]:
+    """Where the groups of a sorted batch begin, their keys, and whether the first goes on from the group in `held`."""
+    cols = [batch.column(k).to_numpy() for k in keys]
+    cols[-1] = cols[-1] >> shift
+    new = np.ones(batch.num_rows, bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    return np.flatnonzero(new), cols, held is not None and all(c[0] == h for c, h in zip(cols, held[0]))
 
-    The last key counts without its lowest `shift` bits. Only the group a batch ends in is remembered, by its key, smallest doc_id and whether it was reported.
+
+def behind_smaller(batches: Iterator[pa.RecordBatch], keys: list[str], shift: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Each batch sorted by keys and doc_id, with its rows behind a smaller doc_id of their group.
+
+    The last key counts without its lowest `shift` bits. Only the key and the smallest doc_id of the group a batch ends in are remembered.
     """
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(k).to_numpy() for k in keys]
-        cols[-1] = cols[-1] >> shift
+        starts, cols, goes_on = _starts(batch, keys, shift, held)
         doc = batch.column("doc_id").to_numpy()
-        new = np.ones(len(doc), bool)
-        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-        starts = np.flatnonzero(new)
         least = doc[starts].copy()
-        told = np.zeros(len(starts), bool)
-        if held is not None and all(c[0] == h for c, h in zip(cols, held[0])):
-            least[0], told[0] = held[1], held[2]
-        group = np.cumsum(new) - 1
-        later = doc > least[group]
-        shared = np.logical_or.reduceat(later, starts)
-        yield batch, later, starts[shared & ~told], least[shared & ~told]
-        held = (tuple(c[-1] for c in cols), least[-1], bool(told[-1] | shared[-1]))
+        if goes_on:
+            least[0] = held[1]
+        yield batch, doc > np.repeat(least, np.diff(np.append(starts, len(doc))))
+        held = (tuple(c[-1] for c in cols), least[-1])
 
 
 def shared_symbols(docs: DataFrame) -> DataFrame:
-    """doc_id and its symbols (name, behind: a smaller doc_id has it too) that several documents have."""
+    """doc_id, twin and the symbols (name, behind: a smaller doc_id has it too) that several documents have.
+
+    Of a group sorted by doc_id and twin the first document is told once another follows; every other is told as it comes.
+    """
+    schema = ["doc_id", "twin", "name", "behind"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, later, firsts, least in _groups(batches, ["name", "check"]):
-            doc, name = batch.column("doc_id").to_numpy(), batch.column("name").to_numpy()
-            behind = np.concatenate((np.ones(later.sum(), bool), np.zeros(len(firsts), bool)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((doc[later], least))), pa.array(np.concatenate((name[later], name[firsts]))), pa.array(behind)], ["doc_id", "name", "behind"])
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, cols, goes_on = _starts(batch, ["name", "check"], 0, held)
+            doc, twin, name = batch.column("doc_id").to_numpy(), batch.column("twin").to_numpy(), cols[0]
+            least, first = doc[starts].copy(), twin[starts].copy()
+            told = np.zeros(len(starts), bool)
+            if goes_on:
+                least[0], first[0], told[0] = held[1:]
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(doc))))
+            other = (doc != least[group]) | (twin != first[group])
+            shared = np.logical_or.reduceat(other, starts)
+            tell = np.flatnonzero(shared & ~told)
+            behind = np.concatenate((doc[other] > least[group[other]], np.zeros(len(tell), bool)))
+            rows = [np.concatenate(x) for x in ((doc[other], least[tell]), (twin[other], first[tell]), (name[other], name[starts[tell]]))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(behind)], schema)
+            held = (tuple(c[-1] for c in cols), least[-1], first[-1], bool(told[-1] | shared[-1]))
 
     parts = tables.partitions(docs.sparkSession)
-    grouped = symbol_rows(docs).repartition(parts, "name").sortWithinPartitions("name", "check", "doc_id")
-    rows = grouped.mapInArrow(each, "doc_id long, name long, behind boolean")
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("name", "behind")).alias("shared"))
+    grouped = symbol_rows(docs).repartition(parts, "name").sortWithinPartitions("name", "check", "doc_id", "twin")
+    rows = grouped.mapInArrow(each, "doc_id long, twin long, name long, behind boolean")
+    return rows.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("name", "behind")).alias("shared"))
 
 
 def _ranges(mark: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,34 +279,34 @@ def open_windows(matched: DataFrame) -> DataFrame:
             h1 = np.concatenate((one, columns.mix(columns.mix(ids[text[begin]].view(np.uint64)) + begin.astype(np.uint64)))).view(np.int64)
             high = np.concatenate((two, np.zeros(len(begin), np.uint64))) & ~_U(0xFFFFFFFF)
             tail = (high | place.astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner], pa.int64()), pa.array(h1), pa.array(tail), pa.array(until)], ["doc_id", "h1", "tail", "until"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner], pa.int64()), pa.array(block.column("twin").to_numpy()[owner]), pa.array(h1), pa.array(tail), pa.array(until)], ["doc_id", "twin", "h1", "tail", "until"])
 
-    return matched.select("doc_id", "text", "shared").mapInArrow(each, "doc_id long, h1 long, tail long, until long")
+    return matched.select("doc_id", "twin", "text", "shared").mapInArrow(each, "doc_id long, twin long, h1 long, tail long, until long")
 
 
 def repeated_words(matched: DataFrame) -> DataFrame:
-    """doc_id and the word ranges [place, until) that windows of documents with smaller ids cover."""
+    """doc_id, twin and the word ranges [place, until) that windows of documents with smaller ids cover."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, later, _, _ in _groups(batches, ["h1", "tail"], shift=32):
-            doc, tail, until = (batch.column(c).to_numpy() for c in ("doc_id", "tail", "until"))
+        for batch, later in behind_smaller(batches, ["h1", "tail"], shift=32):
+            doc, twin, tail, until = (batch.column(c).to_numpy() for c in ("doc_id", "twin", "tail", "until"))
             place = tail & 0xFFFFFFFF
             found = later | (until > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[found]), pa.array(place[found]), pa.array(np.where(until > 0, until, place + WINDOW)[found])], ["doc_id", "place", "until"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[found]), pa.array(twin[found]), pa.array(place[found]), pa.array(np.where(until > 0, until, place + WINDOW)[found])], ["doc_id", "twin", "place", "until"])
 
     parts = tables.partitions(matched.sparkSession)
     grouped = open_windows(matched).repartition(parts, "h1").sortWithinPartitions("h1", F.shiftright("tail", 32), "doc_id")
-    ranges = grouped.mapInArrow(each, "doc_id long, place long, until long")
-    return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("place", "until")).alias("ranges"))
+    ranges = grouped.mapInArrow(each, "doc_id long, twin long, place long, until long")
+    return ranges.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("place", "until")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words (one space between) of every row."""
     # Without a cast both uses of the texts below are one and the same shuffle.
-    rows = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("twin"))
     known = rows.where(F.col("doc_id").isNotNull())
     shared = tables.keep(shared_symbols(known), "shared-symbols")
-    repeated = repeated_words(known.join(shared, "doc_id"))
+    repeated = repeated_words(known.join(shared, ["doc_id", "twin"]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in columns.blocks(batches, "text", 4 << 20):
@@ -304,7 +325,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, n_words long, n_removed long, kept string"
     nameless = rows.where(F.col("doc_id").isNull()).withColumn("ranges", F.lit(None).cast("array<struct<place:long,until:long>>"))
-    return known.join(repeated, "doc_id", "left").unionByName(nameless).mapInArrow(each, schema)
+    return known.join(repeated, ["doc_id", "twin"], "left").unionByName(nameless).mapInArrow(each, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
