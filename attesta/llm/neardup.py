@@ -6,15 +6,15 @@ merge by the maximum of their registers and equal registers are as likely as the
 that agree in a band of registers are candidates. Their likeness is estimated from all registers by
 maximum likelihood, given both set sizes; what remains is confirmed on the full sets.
 
-Equal sets are one node. In a band bucket every node is first compared with the bucket's hub only, the node
+Equal sets are one node. Sets of one or two shingles reach the threshold with equal sets alone, so they are in no band. In a band bucket every node is first compared with the bucket's hub only, the node
 whose buckets hold most others: in a group of copies, most likely what they were copied from. After
 components are formed, buckets that still hold several components compare nodes of different components,
 first by sketch and then by set, block by block inside tasks that only links leave. So groups of copies cost
 their size, and no pair that could join two components is left out.
 
 Cases: null or empty texts, and texts without words, have the empty set and are linked with nothing; a
-text with fewer than five words has one run of all of them; rows with the same doc_id count as linked;
-rows without doc_id are linked with nothing, have no component and are not kept; an empty table gives no
+text with fewer than five words has one run of all of them; rows with the same doc_id count as linked, and
+what each of their texts is linked with is linked with all of them; rows without doc_id are linked with nothing, have no component and are not kept; an empty table gives no
 rows; columns other than doc_id and text are not read.
 """
 
@@ -34,13 +34,18 @@ SHINGLE = 5
 PERCENT = 75
 REGISTERS = 128
 BANDS, ROWS = 28, 3
-#: Base of the registers' scale and their largest value.
+#: Base of the registers' scale, the register of the value 1, and the largest register. Values up to exp(4) keep registers of their own.
 SCALE = 1.001
+OFFSET = 4_000
 TOP = 65_535
+#: Smaller sets are linked with equal ones only: k of k + 1 elements are 75% from k = 3 on.
+LEAST_BANDED = PERCENT // (100 - PERCENT)
 #: Estimates below this are not confirmed: five standard deviations of the estimate under the threshold.
 LEAST_ESTIMATE = 0.55
 #: Shingles of the nodes that one task compares with as many others, about.
 BLOCK_SHINGLES = 500_000
+#: Nodes of such a block at most, about.
+BLOCK_NODES = 4_000
 
 _FACTORS = columns.mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * columns.U64(0xD1342543DE82EF95)) | columns.U64(1)
 
@@ -61,7 +66,7 @@ def registers(elements: np.ndarray) -> np.ndarray:
     for at in range(0, len(elements), 512):
         np.minimum(least, (elements[at : at + 512, None] * _FACTORS).min(axis=0), out=least)
     exponential = -np.log1p(-(np.minimum(least.astype(np.float64), 2.0**64 * (1 - 2.0**-53)) + 0.5) / 2.0**64)
-    return np.clip(np.floor(1 - np.log(exponential) / np.log(SCALE)), 0, TOP).astype(np.uint16)
+    return np.clip(np.floor(OFFSET + 1 - np.log(exponential) / np.log(SCALE)), 0, TOP).astype(np.uint16)
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -70,7 +75,7 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (equal sets have equal ids; null for the empty set) and registers of every row."""
+    """doc_id, twin (hash of the text), n_shingles, set_id (equal sets have equal ids; null for the empty set) and registers of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns.release_kept()
@@ -80,9 +85,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sizes.append(len(elements))
                 ids.append(hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None)
                 sketches.append(registers(elements).astype("<u2").tobytes() if len(elements) else None)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set_id", "registers"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("twin"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "twin", "n_shingles", "set_id", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_shingles long, set_id binary, registers binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("twin"), "text").mapInArrow(each, "doc_id long, twin long, n_shingles long, set_id binary, registers binary")
 
 
 def likelihood_estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -184,12 +189,13 @@ def links_across(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> Data
     """Links (a, b) between nodes of different components in the same open bucket.
 
     Buckets that share nodes form a family. A family is dealt in cells, each two blocks of its nodes with
-    BLOCK_SHINGLES or so each, and every cell is compared where it lies: no pair leaves it but links.
+    BLOCK_SHINGLES or BLOCK_NODES or so each, and every cell is compared where it lies: no pair leaves it but links.
     """
     families = components(members.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "family")
     single = members.select("node", "component").distinct()
     rows = single.join(families, "node").join(nodes.select("node", "n_shingles", "registers"), "node")
-    cells = rows.groupBy("family").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("cells"))
+    blocks = F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_NODES)
+    cells = rows.groupBy("family").agg(F.ceil(blocks).cast("int").alias("cells"))
     rows = rows.join(cells, "family").join(texts, "node")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     rows = rows.withColumn("ci", F.least("chunk", "other")).withColumn("cj", F.greatest("chunk", "other"))
@@ -249,31 +255,48 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def same_id(usable: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of each doc_id that stands on several texts."""
+    several = usable.groupBy("doc_id").agg(F.min("twin").alias("_low"), F.max("twin").alias("_high")).where("_low < _high").select("doc_id")
+    sets = usable.join(several, "doc_id", "left_semi").select("doc_id", "set_id").distinct()
+    placed = sets.join(nodes.select("set_id", "node"), "set_id").select("doc_id", "node")
+    least = placed.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return placed.join(least, "doc_id").select("a", F.col("node").alias("b")).where("a < b")
+
+
+def smallest_ids(whole: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and the smallest doc_id of its component, for every node of a component with links."""
+    members = whole.select("node", "component").unionByName(whole.select(F.col("component").alias("node"), "component").distinct())
+    least = members.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("_least"))
+    return members.join(least, "component").select("node", "_least")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     signed = tables.keep(signatures(docs), "sketches")
     usable = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    nodes_of_sets = usable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    nodes = tables.keep(nodes_of_sets, "nodes")
-    bands = band_rows(nodes)
+    per_set = usable.groupBy("set_id").agg(F.min(F.struct("doc_id", "twin")).alias("_at"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    # Numbers of nodes hold from here on, as the kept table has them; each node names one text by id and hash.
+    nodes = tables.keep(per_set.select(F.monotonically_increasing_id().alias("node"), "set_id", "_at.doc_id", "_at.twin", "n_shingles", "registers"), "nodes")
+    bands = band_rows(nodes.where(F.col("n_shingles") >= LEAST_BANDED))
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = tables.keep(bands.join(buckets, "key"), "bands")  # only buckets with several nodes
     central = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = shared.join(central, "node").select("key", "node", "weight")
     hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", -F.col("node"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("hub"))
     starred = tables.keep(shared.select("key", "node").join(hubs, "key"), "stars")
-    ids = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    involved = ids.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    texts = tables.keep(involved, "texts")
+    named = shared.select("node").distinct().join(nodes.select("node", "doc_id", "twin"), "node")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("twin"), "text")
+    texts = tables.keep(ids.join(named, ["doc_id", "twin"]).dropDuplicates(["doc_id", "twin"]).select("node", "text"), "texts")
     first = starred.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    links = tables.keep(confirmed(plausible(first, nodes), texts), "pairs")
+    links = tables.keep(confirmed(plausible(first, nodes), texts).unionByName(same_id(usable, nodes)), "pairs")
     grouped = components(links)
     labelled = starred.join(grouped, "node", "left").select("key", "hub", "node", F.coalesce("component", "node").alias("component"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key")
     members = tables.keep(labelled.join(open_keys, "key", "left_semi"), "open-bands")
     more = tables.keep(links_across(members, nodes, texts), "pairs")
     whole = components(links.unionByName(more))
-    by_set = nodes.join(whole, "node", "left").select("set_id", F.coalesce("component", "node").alias("_component"))
+    by_set = nodes.join(smallest_ids(whole, nodes), "node", "left").select("set_id", F.coalesce("_least", "doc_id").alias("_component"))
     joined = usable.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id").select("doc_id", "n_shingles", F.col("_component").alias("component_id"))
     alone = signed.where("NOT (set_id IS NOT NULL AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     rows = joined.unionByName(alone)
