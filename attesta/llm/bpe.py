@@ -32,7 +32,14 @@ KEPT_MOVES = 300_000
 KEPT_PAIRS = 300_000
 KEPT_PIECES = 200_000
 
-_DOUBLE_SPACE = re.compile(r"\s\s|\A\s|\s\Z|\0")
+_LOW = (1 << 32) - 1
+_OTHER_SPACE = re.compile(r"[^\S \n]|\0")
+
+
+def plainly_spaced(text: str) -> bool:
+    """White space is single spaces and line feeds between other characters; no zero character is there."""
+    ends = text[:1] in " \n" or text[-1:] in " \n"
+    return not (ends or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text))
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -43,27 +50,41 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.prefixes = {token[:i] for token in ranks for i in range(1, len(token))}
+        self._grow_trie()
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.pairs: dict[int, bool] = {}
         self.made: dict[int, tuple[int, int] | None] = {}
         self.edges: dict[tuple[int, int], list] = {}
         self.reset()
 
+    def _grow_trie(self) -> None:
+        """Places in tokens as numbers, 0 at the beginning: the place after one more byte, the token that ends there (-1: none), and whether a longer one goes on."""
+        self.after: dict[int, int] = {}
+        self.token_at, self.goes_on = [-1], [True]
+        for token, rank in self.ranks.items():
+            place = 0
+            for byte in token:
+                self.goes_on[place] = True
+                place = self.after.setdefault(place << 8 | byte, len(self.token_at))
+                if place == len(self.token_at):
+                    self.token_at.append(-1)
+                    self.goes_on.append(False)
+            self.token_at[place] = rank
+
     def reset(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = [()]
         self.tail: list[int] = [-1]
         self.moves: dict[int, int] = {}
-        self.starts: dict[tuple, tuple] = {}  # equal starts are kept once
-        self.begin = self._number(((b"", -1),))
+        self.begin = self._number((0,))
 
     def _number(self, state: tuple) -> int:
+        """A state is its starts: each the place reached in a longer token, above 32 bits of the token that ends at the start, plus 1."""
         known = self.ids.get(state)
         if known is None:
             known = self.ids[state] = len(self.states)
             self.states.append(state)
-            self.tail.append(state[-1][1])
+            self.tail.append((state[-1] & _LOW) - 1)
         return known
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -133,21 +154,21 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> int:
         """The state after one more byte: every start that a longer token may still cover, with the token that ends there."""
-        add = bytes((byte,))
         live, reached = [], -1
-        for pending, last in self.states[state]:
-            longer = pending + add
+        for start in self.states[state]:
+            place = self.after.get(start >> 32 << 8 | byte)
+            if place is None:
+                continue
             if reached < 0:
-                token = self.ranks.get(longer)
-                if token is not None and self.fits(last, token):
+                token = self.token_at[place]
+                if token >= 0 and self.fits((start & _LOW) - 1, token):
                     reached = token
-            if longer in self.prefixes:
-                live.append((longer, last))
+            if self.goes_on[place]:
+                live.append(place << 32 | start & _LOW)
         if reached < 0:
             raise ValueError(f"the vocabulary cannot spell byte {byte}")
-        live.append((b"", reached))
-        same = self.starts.setdefault
-        known = self.moves[state << 8 | byte] = self._number(tuple([same(x, x) for x in live]))
+        live.append(reached + 1)
+        known = self.moves[state << 8 | byte] = self._number(tuple(live))
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -275,7 +296,7 @@ class StreamDecoder:
     def decode(self, ids: Sequence[int]) -> str:
         plain = self.plain
         try:
-            return "".join([plain[token] for token in ids])
+            return "".join(map(plain.__getitem__, ids))
         except KeyError:  # some token ends inside a character
             pass
         out: list[str] = []
@@ -315,7 +336,7 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         pieces = self.pieces
-        if not self.stretches or _DOUBLE_SPACE.search(text):
+        if not self.stretches or not plainly_spaced(text):
             return b"".join([pieces[p] for p in self.split(text)])
         stretches = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         return b"".join([pieces[p] for p in stretches if p])
