@@ -60,7 +60,7 @@ class Toxicity:
 class Model:
     log_ratio: np.ndarray
     level: float
-    toxicity: Toxicity | None
+    toxicity: Toxicity
 
 
 def ngram_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,15 +237,6 @@ def fit_toxicity(rows: DataFrame) -> Toxicity:
     return replace(words(toxic_weights(t, c, n_toxic, n_clean, tries)), level=level)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, limit: int = LABEL_LIMIT) -> DataFrame:
-    """The documents that are not toxic, with all their columns."""
-    toxicity = fit_toxicity(with_roles(docs, label_sample(labels, limit)))
-    if np.isinf(toxicity.level):
-        return docs
-    packed = tables.pack(docs, ["doc_id", "text"])
-    return toxic_ratios(packed, toxicity, packed.columns).where(F.col("toxic_ratio") < toxicity.level).select(*tables.unpack(packed, docs))
-
-
 def mean_ratios(rows: DataFrame, log_ratio: np.ndarray, keep: list[str], score: str = "mean_ratio", size: str = "n_ngrams", words: Toxicity | None = None) -> DataFrame:
     """Carry the columns of `keep`; add the number of n-grams, their mean log ratio (null without any) and with `words` toxic_ratio."""
     spark = rows.sparkSession
@@ -253,6 +244,7 @@ def mean_ratios(rows: DataFrame, log_ratio: np.ndarray, keep: list[str], score:
     sent_words = spark.sparkContext.broadcast(words)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns.release_kept()
         near = toxic_buckets(sent_words.value) if sent_words.value else None
         for block in columns.blocks(batches, "text"):
             grams = ngram_hashes(block.column("text"))
@@ -299,11 +291,12 @@ def gumbel_key(weight, doc_id):
     return weight - F.log(-F.log(uniform))
 
 
-def classify(docs: DataFrame, labels: DataFrame, limit: int = LABEL_LIMIT, toxicity_too: bool = True) -> tuple[DataFrame, Model, float]:
-    """Scores of every document (doc_id, n_ngrams, mean_ratio, log_weight, sample_key, accepted, and with `toxicity_too` toxic_ratio, toxic, kept), the model and the cut of the keys."""
+def classify(docs: DataFrame, labels: DataFrame, limit: int = LABEL_LIMIT) -> tuple[DataFrame, Model, float]:
+    """Scores of every document (doc_id, n_ngrams, mean_ratio, log_weight, sample_key, accepted, toxic_ratio, toxic, kept), the model and the cut of the keys."""
     rows = with_roles(docs, label_sample(labels, limit))
     ratios = log_ratios(count_ngrams(rows))
-    toxicity = fit_toxicity(rows) if toxicity_too else None
+    # The labelled documents are kept apart, so that fitting does not read all texts again.
+    toxicity = fit_toxicity(tables.keep(rows.where("side IS NOT NULL").select("side", "text"), "quality-sides"))
     scored = tables.keep(mean_ratios(rows, ratios, ["doc_id", "role"], words=toxicity), "quality-scores")
     held = [(r["role"], r["mean_ratio"]) for r in scored.where("role IN ('good', 'bad')").select("role", "mean_ratio").collect()]  # at most `limit` labelled documents
     model = Model(ratios, best_level(held), toxicity)
@@ -315,18 +308,15 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int = LABEL_LIMIT, toxic
         ranked = tables.running_total(drawn.select("sample_key", F.lit(1).cast("long").alias("_one")), [F.col("sample_key").desc()], {"_rank": "_one"}, "quality-keys")
         cut = ranked.where(F.col("_rank") == wanted - 1).first()["sample_key"]
     accepted = F.coalesce(F.col("sample_key") >= F.lit(float(cut)), F.lit(False))
-    scores = weighed.withColumn("accepted", accepted).drop("role")
-    if toxicity is not None:
-        toxic = F.col("toxic_ratio") >= F.lit(toxicity.level)
-        scores = scores.withColumn("toxic", toxic).withColumn("kept", F.col("accepted") & ~F.col("toxic"))
-    names = ["doc_id", "n_ngrams", "mean_ratio", "log_weight", "sample_key", "accepted", "toxic_ratio", "toxic", "kept"]
-    return scores.select(*[n for n in names if n in scores.columns]), model, float(cut)
+    toxic = F.col("toxic_ratio") >= F.lit(toxicity.level)
+    scores = weighed.withColumn("accepted", accepted).withColumn("toxic", toxic).withColumn("kept", F.col("accepted") & ~F.col("toxic"))
+    return scores.select("doc_id", "n_ngrams", "mean_ratio", "log_weight", "sample_key", "accepted", "toxic_ratio", "toxic", "kept"), model, float(cut)
 
 
 def apply(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that quality accepts, with all their columns (`without_toxic` is a step of its own): every text is scored where it lies, and nothing is joined or shuffled."""
-    _, model, cut = classify(docs, labels, toxicity_too=False)
+    """The documents that quality accepts and that are not toxic, with all their columns: every text is rated where it lies, and nothing is joined or shuffled."""
+    _, model, cut = classify(docs, labels)
     packed = tables.pack(docs, ["doc_id", "text"])
-    scored = mean_ratios(packed, model.log_ratio, packed.columns)
+    rated = mean_ratios(packed, model.log_ratio, packed.columns, words=model.toxicity)
     key = gumbel_key(log_weight(F.col("mean_ratio"), model.level), F.col("doc_id"))
-    return scored.where(key >= F.lit(cut)).select(*tables.unpack(packed, docs))
+    return rated.where((key >= F.lit(cut)) & (F.col("toxic_ratio") < F.lit(model.toxicity.level))).select(*tables.unpack(packed, docs))

@@ -26,6 +26,11 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, records: int = 2_000) -> None:
+    """Let the session send texts to Python in batches of at most so many rows: what a task holds beside its block follows it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+
+
 def pack(docs: DataFrame, own: Sequence[str]) -> DataFrame:
     """The columns `own` and all others in one struct `_row`, so that working columns cannot meet columns of the same name."""
     others = [c for c in docs.columns if c not in own]

@@ -75,3 +75,24 @@ def test_awkward_rows(spark):
     assert kept.columns == awkward(spark).columns
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 7, 9]
     assert neardup.classes(awkward(spark, empty=True)).count() == 0
+
+
+def test_two_texts_under_one_id_link_what_each_is_like(spark):
+    words = lambda c, n, last: " ".join(f"{c}{i}" for i in range(n)) + f" {last}"
+    rows = [(4, words("a", 60, "p")), (9, words("a", 60, "q")), (9, words("b", 60, "q")), (7, words("b", 60, "r")), (8, words("c", 60, "r")), (8, "tiny"), (3, "tiny")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (4, 4), (7, 4), (8, 3), (8, 3), (9, 4), (9, 4)]
+
+
+def test_short_texts_are_never_compared(spark):
+    texts = spark.range(100_000).selectExpr("id AS doc_id", "concat_ws(' ', slice(array(concat('w', id), 'x', 'y', 'z'), 1, CAST(id % 4 + 1 AS INT))) AS text")
+    signed = neardup.signatures(texts)
+    assert signed.agg({"n_shingles": "max"}).first()[0] < neardup.LEAST_BANDED
+    rows = neardup.classes(texts)
+    assert rows.where("kept AND component_id = doc_id AND n_shingles = 1").count() == 100_000
+
+
+def test_small_registers_differ():
+    draw = np.random.default_rng(4)
+    sketches = [neardup.registers(draw.integers(1, 2**63, 3).astype(np.uint64)) for _ in range(300)]
+    assert min(int(s.min()) for s in sketches) > 0

@@ -21,7 +21,7 @@ def test_stages_one_by_one(spark):
             assert inputs.columns == docs.columns
     accepted, single, clean, mixed, done = frames
     scores = quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet"))[0]
-    assert set(accepted) == {r["doc_id"] for r in scores.where("accepted").collect()}
+    assert set(accepted) == {r["doc_id"] for r in scores.where("accepted AND NOT toxic").collect()}
     assert set(single) == {k for k, (_, _, kept) in brute({k: r["text"] for k, r in accepted.items()}).items() if kept}
     assert set(clean) == set(single) and not any(pii.base_spans(r["text"]) for r in clean.values())
     assert set(mixed) <= set(clean) and set(done) == set(mixed)

@@ -21,7 +21,7 @@ def test_held_out_accuracy(spark):
     assert np.mean(clean) > 0.97
     kept = quality.apply(docs, fitted)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in scores.where("accepted").collect()}
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in scores.where("kept").collect()}
 
 
 def test_counts_are_those_of_all_texts(spark):
@@ -54,9 +54,8 @@ def test_held_out_toxic_documents_are_rejected(spark):
     print("toxic of quality 1", len(missed), "kept", np.mean(missed), "clean", len(clean), "called toxic", np.mean(clean))
     assert len(missed) > 150 and np.mean(missed) < 0.1
     assert len(clean) > 1000 and np.mean(clean) < 0.02
-    left = quality.without_toxic(docs, fitted)
-    assert left.columns == docs.columns
-    assert {r["doc_id"] for r in left.select("doc_id").collect()} == {r["doc_id"] for r in scores.where("NOT toxic").collect()}
+    left = {r["doc_id"] for r in quality.apply(docs, fitted).select("doc_id").collect()}
+    assert left == {r["doc_id"] for r in scores.where("accepted AND NOT toxic").collect()}
 
 
 def test_a_few_toxic_words_in_a_long_text(spark):
@@ -70,4 +69,38 @@ def test_a_few_toxic_words_in_a_long_text(spark):
     assert (kept[900], kept[901], kept[902]) == (True, False, False)
     assert all(kept[i] == (i % 4 == 0) for i in range(200))
     none = spark.createDataFrame([(i, 1, 0, None) for i in range(200)], LABELS)
-    assert quality.without_toxic(docs, none).count() == len(texts)
+    assert not quality.classify(docs, none)[0].where("toxic").count()
+
+
+def test_mean_ratios_equal_a_dictionary_of_ngrams(spark):
+    """Counts, log ratios and means by plain dictionaries over the words themselves."""
+    import math
+    import re
+    from collections import Counter
+
+    import pyarrow as pa
+
+    texts = {i: f"good tea, plain cup {i % 7} of tea" if i % 3 else f"bad sale!! buy {i % 5} now" for i in range(60)}
+    roles = {i: "target" for i in range(1, 60, 6)}
+    kind = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]+")
+
+    def grams(text):
+        tokens = kind.findall(text)
+        return [(t,) for t in tokens] + list(zip(tokens, tokens[1:]))
+
+    def place(gram):
+        return int(np.concatenate(quality.ngram_buckets(pa.array([" ".join(gram)]))[len(gram) * 2 - 2 :: 4])[0])
+
+    raw, target = Counter(), Counter()
+    for i, text in texts.items():
+        raw.update(grams(text))
+        target.update(grams(text) if i in roles else [])
+    where = {g: place(g) for g in raw}
+    assert len(set(where.values())) == len(where)  # no two of these share a bucket
+    size = 1 << quality.BUCKET_BITS
+    ratio = {g: math.log((target[g] + 1) / (target.total() + size) / ((raw[g] + 1) / (raw.total() + size))) for g in raw}
+    rows = spark.createDataFrame([(i, t, roles.get(i)) for i, t in texts.items()], "doc_id long, text string, role string")
+    scored = quality.mean_ratios(rows, quality.log_ratios(quality.count_ngrams(rows)), ["doc_id"]).collect()
+    for r in scored:
+        found = grams(texts[r["doc_id"]])
+        assert r["n_ngrams"] == len(found) and abs(r["mean_ratio"] - sum(ratio[g] for g in found) / len(found)) < 1e-5

@@ -60,3 +60,10 @@ def test_awkward_rows(spark):
     got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in repeats.digests(awkward(spark)).collect())
     assert got[-1] == (9, 10, 0) and (8, 80_000, 80_000) in got and (7, 80_000, 0) in got and (2, 0, 0) in got and (-1, 7, 0) in got and len(got) == 11
     assert repeats.digests(awkward(spark, empty=True)).count() == 0
+
+
+def test_two_texts_under_one_id(spark):
+    long, other = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(20))
+    rows = [(1, long), (2, "x " + long), (2, other), (2, other), (5, "y " + other + " z"), (6, long + " " + other)]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in repeats.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 80, 0), (2, 20, 0), (2, 20, 0), (2, 81, 80), (5, 22, 20), (6, 100, 100)]
