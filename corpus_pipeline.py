@@ -25,7 +25,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that importance resampling draws; the labels beside the documents train it."""
+    """Keep the documents that importance resampling draws and that are not toxic; the labels beside the documents train both."""
     return quality.apply(docs, tables.read(spark, sf_dir, "labels"))
 
 
@@ -40,8 +40,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out toxic documents, then take documents so that sources reach their target weights; a document taken twice is there twice."""
-    return mixture.apply(tables.keep(quality.without_toxic(docs, tables.read(spark, sf_dir, "labels")), "not-toxic"))
+    """Take documents so that sources reach their target weights; a document taken twice is there twice."""
+    return mixture.apply(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,6 +64,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, writing and reading the rows between them."""
     name_local_folder(spark)
+    tables.bound_batches(spark)
     docs = tables.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = tables.keep(stage(spark, docs, sf_dir), f"stage-{name}")
