@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.text import ColumnOrName, as_col, distinct_by, let, text_or_empty
+from attesta.functions.text import ColumnOrName, as_col, compact_text, distinct_by, let, text_or_empty
 
 
 def any_word(words: Sequence[str]) -> str:
@@ -33,15 +33,21 @@ def found(field: ColumnOrName, pattern: str) -> Column:
     return text_or_empty(field).rlike("(?iU)" + pattern)
 
 
+# No letter or digit before, none after.
+LEFT, RIGHT = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
+
+
 def bounded(term: str) -> str:
     """Pattern of a term with no letter or digit next to it."""
-    return f"(?<![A-Za-z0-9]){re.escape(term)}(?![A-Za-z0-9])"
+    return LEFT + re.escape(term) + RIGHT
 
 
 def term_found(text: Column, term: str, match: str) -> Column:
     """`text` is lower case. 'substring' finds the term anywhere, 'word' only between boundaries."""
     low = term.lower()
-    return F.contains(text, F.lit(low)) if match == "substring" else text.rlike(bounded(low))
+    inside = F.contains(text, F.lit(low))
+    # The plain search is cheap and rules most texts out before the pattern runs.
+    return inside if match == "substring" else inside & text.rlike(bounded(low))
 
 
 def term_count(field: ColumnOrName, terms: Sequence[str], match: str = "substring") -> Column:
@@ -102,6 +108,33 @@ class Test:
         hit = found(self.field, self.pattern)
         return hit if self.present else ~hit
 
+    def __invert__(self) -> Test:
+        return Test(self.field, self.pattern, not self.present)
+
+
+@dataclass(frozen=True)
+class Combined:
+    """Several tests of which all must hold, or any; or the opposite of that."""
+
+    tests: tuple[Test | Combined, ...]
+    all_of: bool = True
+    present: bool = True
+
+    def column(self) -> Column:
+        hit = reduce((lambda a, b: a & b) if self.all_of else (lambda a, b: a | b), [t.column() for t in self.tests])
+        return hit if self.present else ~hit
+
+    def __invert__(self) -> Combined:
+        return Combined(self.tests, self.all_of, not self.present)
+
+
+def every(*tests: Test | Combined) -> Combined:
+    return Combined(tests)
+
+
+def either(*tests: Test | Combined) -> Combined:
+    return Combined(tests, all_of=False)
+
 
 def has(field: str, pattern: str) -> Test:
     return Test(field, pattern, True)
@@ -111,12 +144,25 @@ def lacks(field: str, pattern: str) -> Test:
     return Test(field, pattern, False)
 
 
+def words(terms: Sequence[str]) -> str:
+    """Pattern of any of the plain terms with no letter or digit next to it."""
+    return LEFT + "(?:" + "|".join(re.sub(r"([^\w\s-])", r"\\\1", t) for t in terms) + ")" + RIGHT
+
+
+def has_words(field: str, terms: Sequence[str]) -> Test:
+    return Test(field, words(terms), True)
+
+
+def lacks_words(field: str, terms: Sequence[str]) -> Test:
+    return Test(field, words(terms), False)
+
+
 @dataclass(frozen=True)
 class Reject:
     """Reject with a reason when all tests hold."""
 
     reason: str
-    tests: tuple[Test, ...]
+    tests: tuple[Test | Combined, ...]
     domain: str = ""
 
     def column(self) -> Column:
@@ -129,7 +175,7 @@ class Label:
     """A value given when all tests hold; the first label that fits wins."""
 
     value: str
-    tests: tuple[Test, ...]
+    tests: tuple[Test | Combined, ...]
 
 
 def first_match(labels: Sequence[Label], default: str | Column = "") -> Column:
@@ -166,6 +212,35 @@ def decision_cascade(ctx: DataFrame, rules: Sequence[Reject], grades: Sequence[L
     )
 
 
+def rule_fields(ctx: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
+    """Add the fields that the shipped variants read, from title and text; those already there stay.
+
+    Passages are compacted. Missing columns become: passage the text itself, combined title and text, joined the same
+    with a full stop between, scope as combined, location, article_type and molecule empty.
+    """
+    out = ctx.withColumns({text: compact_text(text), title: text_or_empty(title)})
+    both = F.concat_ws(" ", title, text)
+    made = {
+        "passage": F.col(text),
+        "combined": both,
+        "joined": compact_text(F.concat_ws(". ", title, text)),
+        "scope": both,
+        "location": F.lit(""),
+        "article_type": F.lit(""),
+        "molecule": F.lit(""),
+    }
+    return out.withColumns({name: value for name, value in made.items() if name not in ctx.columns})
+
+
+def scope_text(ctx: DataFrame, key: str, position: str = "position", text: str = "text", first: int = 4) -> DataFrame:
+    """Key and the first passages of each document in order, joined by blanks.
+
+    At most `first` rows a document leave the filter, so the gathered arrays stay short.
+    """
+    near_top = ctx.filter(F.col(position) <= first).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(position, text))).alias("_p"))
+    return near_top.select(key, F.array_join(F.transform("_p", lambda p: p[text]), " ").alias("first_passages"))
+
+
 def reason_histogram(decided: DataFrame) -> DataFrame:
     return decided.groupBy("decision", "reason", "grade").agg(F.count("*").alias("n"))
 

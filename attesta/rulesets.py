@@ -1,4 +1,4 @@
-"""Default rule tables of the evidence scan. Word lists and weights are fixed values.
+"""Default tables of the evidence scan: grades, attributes, anchor weights (decisions and scores: `attesta.variants`).
 
 Fields a table may name: title, text (the passage), combined (title and passage), location, source_kind,
 article_type, evidence_domain.
@@ -6,171 +6,12 @@ article_type, evidence_domain.
 
 from __future__ import annotations
 
-from attesta.operators.rules import Label, Reject, Score, any_word, has, labels_on, lacks, near
-
-# Therapeutic oligonucleotide words.
-OLIGO = [
-    "siRNA", "small interfering RNA", "RNAi", "shRNA", "antisense oligonucleotide", "antisense", "ASO", "gapmer",
-    "oligonucleotide", "oligodeoxynucleotide", "ODN", "CpG", "morpholino", "PMO", "phosphorodiamidate",
-    "locked nucleic acid", "LNA", "GalNAc", "inclisiran", "patisiran", "vutrisiran", "givosiran", "lumasiran",
-    "fitusiran", "olezarsen", "volanesorsen", "tofersen", "nusinersen", "inotersen", "bepirovirsen", "milasen",
-    "elebsiran", "pelacarsen", "danvatirsen", "mipomersen", "eteplirsen", "drisapersen",
-]
-# Organisms and settings out of scope.
-OUT_OF_SCOPE = [
-    "wheat", "soybean", "rice", "maize", "cotton", "arabidopsis", "plant", "plants", "crop", "crops", "seedling",
-    "tomato", "pest", "pests", "fungal", "fungus", "insect", "drosophila", "aphid", "mosquito", "honeybee", "beetle",
-    "locust", "schistosoma", "nematode", "worm", "flatworm", "planarian", "zebrafish", "xenopus", "caenorhabditis",
-    "duck", "goose", "chicken", "livestock", "bacteri", "biofilm", "HLA typing", "PCR typing", "diagnostic",
-    "biosensor", "sensor", "food safety",
-]
-# Background article words.
-REVIEW = ["review", "reviews", "overview", "meta-analysis", "systematic review", "perspective", "commentary", "protocol"]
-# Method and tool words of titles.
-METHOD_TOOL = [
-    "software", "web server", "database", "algorithm", "deep learning", "machine learning", "computational model",
-    "generator", "suite", "pipeline", "benchmark",
-]
-# Safety endpoints.
-SAFETY = [
-    "safety", "safe", "tolerability", "tolerated", "well tolerated", "adverse", "toxicity", "toxic", "cytotoxicity",
-    "cytotoxic", "cell viability", "viability", "hemolysis", "haemolysis", "hemocompatibility", "immunotoxicity",
-    "immunogenicity", "immune activation", "cytokine", "interferon", "complement", "platelet", "thrombocytopenia",
-    "ALT", "AST", "alanine transaminase", "aspartate transaminase", "bilirubin", "TBIL", "BUN", "creatinine", "Scr",
-    "serum chemistry", "blood chemistry", "histology", "histological", "H&E", "body weight", "organ index",
-    "pathology", "pathological", "mortality", "DNA damage", "genotoxicity", "no observable adverse",
-]
-# Phrases of a reported safety result.
-SAFETY_RESULT = (
-    r"no significant (?:change|difference|cytotoxicity|toxicity)|no (?:observable )?adverse|well tolerated|"
-    r"no signs? of toxicity|did not (?:affect|induce|cause)|remained (?:stable|unchanged)|"
-    r"hemolysis rate|thrombocytopenia|ALT|AST|BUN|creatinine|histolog|H&E|body weight"
-)
-# Words of primary work.
-PRIMARY = [
-    "we ", "our ", "this study", "results?", "methods?", "treated", "administered", "measured", "assessed",
-    "evaluated", "tested", "observed", "showed", "demonstrated", "quantified", "phase [123]", "clinical trial",
-    "patients?", "mice", "mouse", "rats?", "monkeys?", "cells?",
-]
-# Efficacy words.
-EFFICACY = [
-    "tumou?r growth", "anti-?tumou?r", "anticancer", "cell death", "apoptosis", "proliferation", "migration",
-    "invasion", "disease model", "viral replication", "therapeutic efficacy",
-]
-# Off-target words, wide and concrete.
-OFFTARGET = [
-    "off-target", "off target", "offtarget", "seed-mediated", "seed region", "seed match", "seed sequence",
-    "miRNA-like", "microRNA-like", "mismatch", "mismatched", "hybridization", "partial complementarity",
-    "partially complementary", "unintended", "non-target", "nontarget", "transcriptome", "RNA-seq", "RNA seq",
-    "microarray", "gene expression profiling", "global expression", "genome-wide", "specificity", "cross-react",
-]
-OFFTARGET_CONCRETE = [
-    "off-target", "off target", "offtarget", "seed-mediated", "seed match", "miRNA-like", "microRNA-like", "mismatch",
-    "mismatched", "hybridization", "partial complementarity", "partially complementary", "unintended gene",
-    "unintended transcript", "non-target gene", "nontarget gene", "cross-react",
-]
-PROFILING = ["RNA-seq", "RNA seq", "transcriptome", "microarray", "global gene expression", "gene expression profiling", "genome-wide"]
-PROFILED_EFFECT = ["off-target", "off target", "unintended", "non-target", "nontarget", "mismatch", "seed", "hybridization"]
-# Computational and laboratory words.
-COMPUTATIONAL = [
-    "in silico", "software", "algorithm", "model", "deep learning", "machine learning", "predict", "prediction", "design",
-    "designer", "suite", "tool", "web server", "database", "benchmark",
-]
-WET_ASSAY = [
-    "RNA-seq", "transcriptome", "microarray", "luciferase", "reporter", "qPCR", "RT-qPCR", "western blot",
-    "cell viability", "CCK-8", "MTT", "LDH", "flow cytometry", "ELISA", "histology", "H&E", "ALT", "AST", "clinical",
-    "patients?",
-]
+from attesta.operators.rules import Label, Score, any_word, has, labels_on, lacks
+from attesta.variants import P_COMPUTATIONAL, P_WET
 
 RESULTS_PLACE = r"\bResults?\b|Figure|Fig\.|Table|Supplement"
 INTRODUCTION = r"\bIntroduction\b"
 DISCUSSION = r"\bDiscussion\b|Conclusion"
-BACKGROUND_PLACE = r"\bIntroduction\b|\bBackground\b|COMMENTARY|Perspective"
-TRANSCRIPTOME_EFFECT = near(PROFILING, PROFILED_EFFECT, 160)
-OLIGO_EFFECT = near(OLIGO[:9], OFFTARGET_CONCRETE, 180)
-
-# Term-count scoring.
-SCORES_TERMS = [
-    Score(5, "text", terms=tuple(OLIGO)),
-    Score(2, "text", terms=("we observed", "we found", "we evaluated", "we measured", "well tolerated", "rna-seq", "mice", "patients", "clinical trial")),
-    Score(6, "text", terms=tuple(SAFETY), domain="toxicity"),
-    Score(8, "text", terms=tuple(OFFTARGET), domain="offtarget"),
-    Score(10, "hash_exact", "^true$"),
-    Score(12, "location", RESULTS_PLACE),
-    Score(2, "location", r"\bAbstract\b"),
-    Score(-10, "location", INTRODUCTION),
-    Score(-5, "location", r"\bDiscussion\b|\bConclusion"),
-    Score(-8, "text", any_word(REVIEW)),
-]
-# Pattern scoring with the place of the passage.
-SCORES_PATTERNS = [
-    Score(20, "hash_exact", "^true$"),
-    Score(4, "source_kind", "^full_text$"),
-    Score(12, "location", RESULTS_PLACE + "|Methods?"),
-    Score(12, "location", r"\bSafety|Toxicity|Cytotoxicity|Off-target|Off target|Specificity"),
-    Score(-18, "location", INTRODUCTION),
-    Score(-5, "location", DISCUSSION),
-    Score(10, "text", any_word(OLIGO)),
-    Score(5, "text", any_word(PRIMARY)),
-    Score(8, "text", any_word(SAFETY), domain="toxicity"),
-    Score(12, "text", SAFETY_RESULT, domain="toxicity"),
-    Score(10, "text", any_word(OFFTARGET), domain="offtarget"),
-    Score(18, "text", any_word(OFFTARGET_CONCRETE), domain="offtarget"),
-    Score(12, "text", TRANSCRIPTOME_EFFECT, domain="offtarget"),
-    Score(5, "text", any_word(WET_ASSAY), domain="offtarget"),
-]
-# Window scoring of abstracts.
-SCORES_WINDOW = [
-    Score(35, "text", OLIGO_EFFECT),
-    Score(25, "text", any_word(OFFTARGET), unless=OLIGO_EFFECT),
-    Score(18, "text", TRANSCRIPTOME_EFFECT),
-    Score(10, "text", any_word(OLIGO)),
-    Score(8, "text", any_word(PRIMARY)),
-    Score(6, "text", any_word(WET_ASSAY)),
-    Score(-3, "text", any_word(COMPUTATIONAL)),
-]
-
-# Ordered reject rules by domain.
-REJECT_TOXICITY = [
-    Reject("review article", (has("title", any_word(REVIEW)),)),
-    Reject("out of scope", (has("title", any_word(OUT_OF_SCOPE)),)),
-    Reject("no oligonucleotide", (lacks("combined", any_word(OLIGO)),)),
-    Reject("no safety endpoint", (lacks("text", any_word(SAFETY)),)),
-    Reject("background only", (has("location", BACKGROUND_PLACE), lacks("location", r"\bSafety|Toxicity|Cytotoxicity\b"))),
-    Reject("efficacy readout", (has("text", any_word(EFFICACY)), lacks("text", SAFETY_RESULT))),
-    Reject("generic endpoint", (lacks("text", SAFETY_RESULT + r"|\bcytotoxicity|cell viability|hemolysis|adverse events?|blood chemistry|serum chemistry\b"),)),
-]
-REJECT_OFFTARGET = [
-    Reject("review article", (has("title", any_word(REVIEW)),)),
-    Reject("out of scope", (has("title", any_word(OUT_OF_SCOPE)),)),
-    Reject("no oligonucleotide", (lacks("combined", any_word(OLIGO)),)),
-    Reject("no specific off-target evidence", (lacks("text", any_word(OFFTARGET_CONCRETE) + "|" + TRANSCRIPTOME_EFFECT),)),
-    Reject("background only", (has("location", BACKGROUND_PLACE),)),
-    Reject("discussion only", (has("location", DISCUSSION), lacks("location", "off-target|off target|offtarget|seed|mismatch|hybridization"))),
-    Reject("methods only", (has("location", r"\bMethods?\b|Materials"), lacks("location", "off-target|off target|offtarget|seed|mismatch|hybridization|RNA-seq|transcriptome"))),
-    Reject("computational without evidence", (has("combined", any_word(COMPUTATIONAL)), lacks("text", any_word(WET_ASSAY)), lacks("text", r"\b(?:off-target|seed|mismatch|hybridization|specificity)\b"))),
-    Reject("no primary analysis", (lacks("text", any_word(WET_ASSAY) + r"|\b(?:validated|evaluated|assessed|identified|profiled|screened)\b"), lacks("combined", any_word(COMPUTATIONAL)))),
-]
-# Abstract variant: the statement must be a result about an oligonucleotide.
-REJECT_ABSTRACT = [
-    Reject("review article", (has("title", any_word(REVIEW)),)),
-    Reject("method or tool", (has("title", any_word(METHOD_TOOL)), lacks("title", "therapeutic|clinical|patients?|mice|mouse|in vivo|GalNAc|ASO"))),
-    Reject("no oligonucleotide", (lacks("combined", any_word(OLIGO)),)),
-    Reject("no specific off-target evidence", (lacks("text", OLIGO_EFFECT + "|" + TRANSCRIPTOME_EFFECT),)),
-    Reject("other therapy", (has("text", r"\boff[- ]target (?:toxicit|effect)\w*\b"), has("text", r"\bsmall molecule|inhibitor|chemotherapy|drug therapy\b"))),
-    Reject("generic obstacle", (has("text", near(["hampered by", "limited by", "obstacle", "challenge", "barrier", "poor delivery"], ["off-target", "off target"], 120)),)),
-    Reject("no primary analysis", (lacks("text", any_word(PRIMARY)),)),
-]
-# Anchored full-text variant: the place of the passage must be primary.
-REJECT_ANCHORED = [
-    Reject("review article", (has("title", any_word(REVIEW)),)),
-    Reject("out of scope", (has("combined", any_word(OUT_OF_SCOPE)),)),
-    Reject("background only", (has("location", r"\b(?:Background|Introduction|Discussions?|Conclusions?|Methods|article body)\b"), lacks("location", r"\b(?:Results?|Figure|Fig\.|Table|Supplement)"))),
-    Reject("method or tool", (has("title", any_word(METHOD_TOOL)),)),
-    Reject("no oligonucleotide", (lacks("text", any_word(OLIGO)),)),
-    Reject("no specific off-target evidence", (lacks("text", any_word(OFFTARGET)),)),
-    Reject("no primary analysis", (lacks("location", r"\b(?:Results?|Figure|Fig\.|Table|Supplement)"), lacks("text", any_word(PRIMARY)))),
-]
 
 # Grades of accepted rows, by source kind and place.
 GRADES = [
@@ -182,7 +23,6 @@ GRADES = [
 ]
 # Evidence that was only computed is grade C, whatever its place.
 GRADES_COMPUTATIONAL = [Label("C", (has("is_computational_prediction", "^(?:1|true)$"),)), *GRADES]
-GRADES_ABSTRACT = [Label("B", (has("text", r"\b" + "|".join([*PROFILING[:4], "luciferase", "reporter", "clinical", "patients?", "mice", "in vivo"]) + r"\b"),))]
 GRADES_BY_TERMS = [
     Label("C", (has("text", any_word(["review", "guidance", "perspective", "meta-analysis"])),)),
     Label("C", (has("article_type", "^review-article$"),)),
@@ -238,7 +78,7 @@ ASSAYS_OFFTARGET = [
         ("microarray", r"\bmicroarray\b"),
         ("luciferase reporter", r"\bluciferase|reporter\b"),
     ]),
-    Label("computational off-target prediction", (has("combined", any_word(COMPUTATIONAL)), lacks("text", any_word(WET_ASSAY)))),
+    Label("computational off-target prediction", (has("combined", any_word(P_COMPUTATIONAL)), lacks("text", any_word(P_WET)))),
 ]
 ORGANISMS = labels_on("text", [
     ("human", r"\bpatients?|participants?|human\b"),
