@@ -289,7 +289,8 @@ def classes(docs: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("twin"), "text")
     texts = tables.keep(ids.join(named, ["doc_id", "twin"]).dropDuplicates(["doc_id", "twin"]).select("node", "text"), "texts")
     first = starred.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    links = tables.keep(confirmed(plausible(first, nodes), texts).unionByName(same_id(usable, nodes)), "pairs")
+    likely = tables.keep(plausible(first, nodes), "likely-pairs")  # kept, so that no task runs two Python steps at once
+    links = tables.keep(confirmed(likely, texts).unionByName(same_id(usable, nodes)), "pairs")
     grouped = components(links)
     labelled = starred.join(grouped, "node", "left").select("key", "hub", "node", F.coalesce("component", "node").alias("component"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key")

@@ -208,17 +208,23 @@ def added_spans(extracted: DataFrame, patterns: DataFrame) -> DataFrame:
     return sure.groupBy("_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_added"))
 
 
+def _may_grow() -> Column:
+    """Whether a row holds an unknown identifier in a context, which accepted patterns could add."""
+    return F.coalesce(F.exists("_seen", lambda s: s["kind"] < 0), F.lit(False))
+
+
+def grow(extracted: DataFrame, added: DataFrame) -> DataFrame:
+    """The rows with unknown identifiers, their base spans and those added to them as `_all`."""
+    joined = extracted.where(_may_grow()).drop("_seen").join(added, "_key", "left")
+    return joined.withColumn("_all", F.concat("_base", F.coalesce("_added", F.array().cast(_SPANS)))).drop("_added")
+
+
 def find(docs: DataFrame, carried: list[str]) -> DataFrame:
     """`carried` columns, `_base` and `_all` spans of every row."""
-    extracted = extract(docs, carried)
-    kept = tables.keep(extract(docs, []), "pii-contexts") if "text" in carried else tables.keep(extracted, "pii-contexts")
-    added = added_spans(kept, learn(kept))
-    source = extracted if "text" in carried else kept
-    # Only rows with an unknown identifier can be added to; the others, texts and all, stay where they are.
-    may_grow = F.coalesce(F.exists("_seen", lambda s: s["kind"] < 0), F.lit(False))
-    grown = source.where(may_grow).drop("_seen").join(added, "_key", "left").withColumn("_all", F.concat("_base", F.coalesce("_added", F.array().cast(_SPANS)))).drop("_added")
-    rest = source.where(~may_grow).drop("_seen").withColumn("_all", F.col("_base"))
-    return grown.unionByName(rest).drop("_key")
+    kept = tables.keep(extract(docs, carried), "pii-contexts")
+    # Only rows with an unknown identifier can be added to; the others stay where they are.
+    rest = kept.where(~_may_grow()).drop("_seen").withColumn("_all", F.col("_base"))
+    return grow(kept, added_spans(kept, learn(kept))).unionByName(rest).drop("_key")
 
 
 def _said(spans: Column) -> Column:
@@ -248,18 +254,43 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _redacted_block(block: pa.RecordBatch, names: list[str], spans: list[list[tuple[int, int, int]]]) -> pa.RecordBatch:
+    """The columns `names` of a block, its texts without the spans (start, end, kind) of each row, `n_chars` set anew."""
+    texts = [t if not s else redacted(t, s) for t, s in zip(block.column("text").to_pylist(), spans)]
+    out = {c: block.column(c) for c in names} | {"text": pa.array(texts, block.column("text").type)}
+    if "n_chars" in out:
+        out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], out["n_chars"].type)
+    return pa.RecordBatch.from_arrays(list(out.values()), names)
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """All rows and columns of `docs`; personal data in `text` replaced by its kind, `n_chars` set anew."""
+    """All rows and columns of `docs`; personal data in `text` replaced by its kind, `n_chars` set anew.
+
+    Rows without unknown identifiers, nearly all as a rule, are searched and redacted in one pass. The others are
+    kept with the spans added to them and redacted from there, so no task runs two Python steps at once.
+    """
     packed = tables.pack(docs, ["doc_id", "text", "n_chars"])
     names = packed.columns
+    kept = tables.keep(extract(docs, []), "pii-contexts")
+    added = added_spans(kept, learn(kept))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns.release_kept()
         for block in columns.blocks(batches, "text", 4 << 20):
-            spans = block.column("_all").to_pylist()
-            texts = [t if not s else redacted(t, [(x["start"], x["end"], x["kind"]) for x in s]) for t, s in zip(block.column("text").to_pylist(), spans)]
-            out = {c: block.column(c) for c in names} | {"text": pa.array(texts, block.column("text").type)}
-            if "n_chars" in out:
-                out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], out["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(out.values()), names)
-
-    return find(packed, names).select(*names, "_all").mapInArrow(each, packed.schema).select(*tables.unpack(packed, docs))
+            found = []
+            for text in block.column("text").to_pylist():
+                base = base_spans(text or "")
+                grows = (bool(base) or _ANY.search(text or "")) and any(contexts(text, s, e) for s, e in unknown_spans(text, base))
+                found.append(None if grows else [(s, e, k) for k, s, e in base])
+            stays = pa.array([f is not None for f in found], pa.bool_())
+            yield _redacted_block(block.filter(stays), names, [f for f in found if f is not None])
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns.release_kept()
+        for block in columns.blocks(batches, "text", 4 << 20):
+            spans = [[(x["start"], x["end"], x["kind"]) for x in s] for s in block.column("_all").to_pylist()]
+            yield _redacted_block(block, names, spans)
+
+    rest = packed.mapInArrow(settled, packed.schema)
+    open_rows = grow(extract(packed, names), added).select(*names, "_all")
+    return rest.unionByName(tables.keep(open_rows, "pii-open").mapInArrow(grown, packed.schema)).select(*tables.unpack(packed, docs))
