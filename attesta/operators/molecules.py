@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attesta.functions.text import ColumnOrName, as_col, compact_text, let, null_if_blank, text_or_empty
+from attesta.operators.patterns import extracted_as
 from attesta.operators.rules import found
 
 
@@ -125,11 +126,14 @@ def name_molecule(naming: Naming, text: ColumnOrName, modality: ColumnOrName, ex
     if existing:
         choices.append(tidy_name(naming, F.coalesce(*[null_if_blank(c) for c in existing], F.lit(""))))
     with_modality = F.lit(naming.known_suffix)
+    names = []
     for token in naming.known:
         name = F.lit(token)
         if naming.known_suffix:
             name = F.concat(name, F.when(name.rlike(naming.modality_words), "").otherwise(with_modality))
-        choices.append(F.when(found(source, _literal(token)), name))
+        names.append(F.when(found(source, _literal(token)), name))
+    # One search for all known names comes first: most passages hold none.
+    choices.append(F.when(found(source, r"\b(?:" + "|".join(t.replace(".", r"\.") for t in naming.known) + r")\b"), F.coalesce(*names)))
     for pattern in naming.patterns:
 
         def fit(n: Column) -> Column:
@@ -142,12 +146,12 @@ def name_molecule(naming: Naming, text: ColumnOrName, modality: ColumnOrName, ex
                 ok = ok & ~n.rlike(naming.refuses)
             return F.when(ok, n)
 
-        match = F.regexp_extract(source, "(?U)" + pattern, 0)
+        match = F.regexp_extract(source, extracted_as(pattern), 0)
         choices.append(let(F.coalesce(tidy_name(naming, match), F.lit("")) if naming.tidy else match, fit))
     if naming.targets:
         # Only the first pattern that matches gives the target, fit or not.
-        found_target = F.coalesce(*[null_if_blank(F.regexp_extract(source, "(?U)" + p, 1)) for p in naming.targets])
-        choices.append(let(F.concat_ws(" ", found_target, kind), lambda n: F.when(found_target.isNotNull(), tidy_name(naming, n))))
+        found_target = F.coalesce(*[null_if_blank(F.regexp_extract(source, extracted_as(p), 1)) for p in naming.targets])
+        choices.append(let(found_target, lambda t: F.when(t.isNotNull(), tidy_name(naming, F.concat_ws(" ", t, kind)))))
     if naming.unspecified:
         if target is not None:
             choices.append(F.when(null_if_blank(as_col(target)).isNotNull(), F.concat_ws(" ", as_col(target), kind)))
