@@ -43,3 +43,31 @@ def test_counts_and_first_rows_equal_the_whole_search(spark):
     queries = questions.select(F.col("question_id").alias("query_id"), F.col("question").alias("q")).unionByName(spark.createDataFrame([("r", "small ring"), ("t", "tiny")], "query_id string, q string"))
     hits = search.synonym_search(view, search.EVIDENCE_FIELDS, queries, ["entity_table", "evidence_id"])
     assert rows(search.synonym_counts(view, search.EVIDENCE_FIELDS, queries)) == rows(hits.groupBy("query_id").agg(F.count("*").alias("hits")))
+
+
+def test_cards_join_sources_once_per_combination(spark, monkeypatch):
+    kept = []
+
+    def counted(df):
+        kept.append(df.count())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(search, "store", counted)
+    tables = evidence_tables(spark, TINY)
+    view = release.release_view(tables)
+    cards = search.record_cards(view, tables["curation_audit"], tables["source_document"])
+    sources = view.select("source_document_id").distinct().count()
+    assert kept == [sources, sources]
+    assert cards.count() == view.count()
+
+
+def test_cards_tell_a_null_from_a_neighbouring_field(spark):
+    fields = [c for c in release.RELEASE_COLUMNS if c not in ("evidence_id", "entity_table", "pmid", "doi")]
+    rows_in = spark.createDataFrame([("t", 1, "7", None), ("t", 2, None, "7"), ("t", 3, None, None)], "entity_table string, evidence_id long, pmid string, doi string")
+    view = rows_in.withColumns({c: F.lit(None).cast("string") for c in fields})
+    sources = spark.createDataFrame([(1, "7", "a"), (2, "b", "7")], "id long, pmid string, doi string").withColumns(
+        {c: F.lit("").cast("string") for c in ("title", "pmcid", "source_url", "license_status")}
+    )
+    audit = spark.createDataFrame([], "id long, entity_table string, entity_id long, validation_status string, curator_decision string")
+    got = search.record_cards(view, audit, sources).select("evidence_id", "matched_source_id", "pmid", "doi")
+    assert rows(got) == [(1, 1, "7", "a"), (2, 2, "b", "7"), (3, None, "", "")]
