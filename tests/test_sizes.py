@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from attesta import session
 from attesta.lexicons import QuestionTerm
-from attesta.operators import release, search, spelling
+from attesta.operators import release, search, spelling, windows
 from attesta.sources.adapters import evidence_tables
 
 TINY = "/root/testdata/sf0.001"
@@ -71,3 +72,20 @@ def test_cards_tell_a_null_from_a_neighbouring_field(spark):
     audit = spark.createDataFrame([], "id long, entity_table string, entity_id long, validation_status string, curator_decision string")
     got = search.record_cards(view, audit, sources).select("evidence_id", "matched_source_id", "pmid", "doi")
     assert rows(got) == [(1, 1, "7", "a"), (2, 2, "b", "7"), (3, None, "", "")]
+
+
+def test_newest_audit_sorts_without_the_columns_its_filter_fixes(spark):
+    audit = evidence_tables(spark, TINY)["curation_audit"]
+    newest = windows.latest_accept_audit(audit)
+    sorts = [line for line in newest._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in line]
+    assert sorts and newest.columns == audit.columns
+    assert not [n for n in ("validation_status", "curator_decision") if n in newest._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1]]
+    assert {tuple(r) for r in newest.select("validation_status", "curator_decision").distinct().collect()} == {("curator_verified", "accept")}
+
+
+def test_task_bounds_leave_named_sizes_alone(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", "7m")
+    session.bound_tasks(own)
+    assert own.conf.get("spark.sql.files.maxPartitionBytes") == "7m"
+    assert own.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
