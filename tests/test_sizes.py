@@ -89,3 +89,10 @@ def test_task_bounds_leave_named_sizes_alone(spark):
     session.bound_tasks(own)
     assert own.conf.get("spark.sql.files.maxPartitionBytes") == "7m"
     assert own.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_group_split_does_not_shuffle_rows_by_task(spark):
+    data = spark.range(3_000_000).select("id", F.lit("t").alias("task_name"), (F.col("id") % 5).cast("string").alias("leakage_group"))
+    got = windows.ordinal_group_split(data)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got.groupBy("split_name").count()) == [("test", 600_000), ("train", 1_800_000), ("validation", 600_000)]
