@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attesta.functions.text import ColumnOrName, as_col, compact_text, let, null_if_blank, text_or_empty
 from attesta.operators.patterns import extracted_as
 from attesta.operators.rules import found
+from attesta.operators.searches import may_hold
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,19 @@ def modality_012(text: ColumnOrName) -> Column:
     return F.when(found(text, r"\bASO|antisense oligonucleotide|gapmer|AON\b"), "ASO").when(found(text, r"\bshRNA|short hairpin\b"), "shRNA").otherwise("siRNA")
 
 
-def name_molecule(naming: Naming, text: ColumnOrName, modality: ColumnOrName, existing: Sequence[ColumnOrName] = (), target: ColumnOrName | None = None) -> Column:
+def _any_known(naming: Naming) -> str:
+    return r"\b(?:" + "|".join(t.replace(".", r"\.") for t in naming.known) + r")\b"
+
+
+def name_hints(naming: Naming, text: Column) -> Column:
+    """Which searches of `name_molecule` may find something in the text, by a linear search of it: an argument that saves the others."""
+    return may_hold(["(?i)" + _any_known(naming), *naming.patterns, *naming.targets])(text)
+
+
+def name_molecule(
+    naming: Naming, text: ColumnOrName, modality: ColumnOrName, existing: Sequence[ColumnOrName] = (), target: ColumnOrName | None = None,
+    hints: ColumnOrName | None = None,
+) -> Column:
     """Name of the molecule of a passage, empty when there is none.
 
     The first nonblank existing name wins (after tidying, where the variant tidies), then the first known name in
@@ -123,6 +136,10 @@ def name_molecule(naming: Naming, text: ColumnOrName, modality: ColumnOrName, ex
     """
     source, kind = text_or_empty(text), text_or_empty(modality)
     choices = []
+
+    def hinted(n: int, search: Column) -> Column:
+        return search if hints is None else F.when(F.getbit(as_col(hints), F.lit(n)) == 1, search)
+
     if existing:
         choices.append(tidy_name(naming, F.coalesce(*[null_if_blank(c) for c in existing], F.lit(""))))
     with_modality = F.lit(naming.known_suffix)
@@ -133,8 +150,8 @@ def name_molecule(naming: Naming, text: ColumnOrName, modality: ColumnOrName, ex
             name = F.concat(name, F.when(name.rlike(naming.modality_words), "").otherwise(with_modality))
         names.append(F.when(found(source, _literal(token)), name))
     # One search for all known names comes first: most passages hold none.
-    choices.append(F.when(found(source, r"\b(?:" + "|".join(t.replace(".", r"\.") for t in naming.known) + r")\b"), F.coalesce(*names)))
-    for pattern in naming.patterns:
+    choices.append(hinted(0, F.when(found(source, _any_known(naming)), F.coalesce(*names))))
+    for n, pattern in enumerate(naming.patterns, 1):
 
         def fit(n: Column) -> Column:
             ok = n != ""
@@ -147,10 +164,10 @@ def name_molecule(naming: Naming, text: ColumnOrName, modality: ColumnOrName, ex
             return F.when(ok, n)
 
         match = F.regexp_extract(source, extracted_as(pattern), 0)
-        choices.append(let(F.coalesce(tidy_name(naming, match), F.lit("")) if naming.tidy else match, fit))
+        choices.append(hinted(n, let(F.coalesce(tidy_name(naming, match), F.lit("")) if naming.tidy else match, fit)))
     if naming.targets:
         # Only the first pattern that matches gives the target, fit or not.
-        found_target = F.coalesce(*[null_if_blank(F.regexp_extract(source, extracted_as(p), 1)) for p in naming.targets])
+        found_target = F.coalesce(*[hinted(n, null_if_blank(F.regexp_extract(source, extracted_as(p), 1))) for n, p in enumerate(naming.targets, 1 + len(naming.patterns))])
         choices.append(let(found_target, lambda t: F.when(t.isNotNull(), tidy_name(naming, F.concat_ws(" ", t, kind)))))
     if naming.unspecified:
         if target is not None:

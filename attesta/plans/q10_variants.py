@@ -7,12 +7,13 @@ case was written to meet one rule. Sentences and titles stay whole.
 from __future__ import annotations
 
 from dataclasses import astuple, dataclass
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.operators import mining, rules
-from attesta.operators.molecules import NAMES_009, NAMES_011, NAMES_012, Naming, modality_012, name_molecule
+from attesta.operators.molecules import NAMES_009, NAMES_011, NAMES_012, Naming, modality_012, name_hints, name_molecule
 from attesta.operators.rules import LEFT, RIGHT, Combined, Label, Reject, Score
 from attesta.operators.windows import passage_window
 from attesta.plans.q06_mining import SENT
@@ -168,7 +169,7 @@ FIELDS = ("text", "title", "location", "source_kind", "domain", "article_type",
 # --- the rows -------------------------------------------------------------------------------------------
 
 
-def contexts(spark, sf_dir: str, variant: str) -> DataFrame:
+def contexts(spark, sf_dir: str, variant: str, named: bool = True) -> DataFrame:
     """Every sentence of documents with the words of case (row_id + position) mod n appended."""
     docs = text_table(spark, sf_dir, "documents", "doc_id")
     titles = evidence_tables(spark, sf_dir)["source_document"].select(F.col("id").alias("doc_id"), F.col("title").alias("_title"))
@@ -183,22 +184,34 @@ def contexts(spark, sf_dir: str, variant: str) -> DataFrame:
         F.col("_c.location").alias("location"), F.col("_c.source_kind").alias("source_kind"), F.col("_c.domain").alias("evidence_domain"),
         F.col("_c.article_type").alias("article_type"), F.col("_c.scope").alias("_scope"), (F.col("position") == 1).alias("hash_exact"),
     )
-    return prepared(rows, variant)
+    return prepared(rows, variant, named)
 
 
-def prepared(rows: DataFrame, variant: str) -> DataFrame:
-    """Add scope, window and molecule where the variant reads them."""
+NAMING = {"011": NAMES_011, "012": NAMES_012}
+
+
+def molecule(variant: str, hints: str | None = None) -> dict[str, Column]:
+    """The molecule where the variant reads it, from the text named `_named`."""
+    if variant not in NAMING:
+        return {}
+    modality = F.lit("siRNA") if variant == "011" else modality_012("_named")
+    return {"molecule": name_molecule(NAMING[variant], "_named", modality, hints=hints)}
+
+
+def prepared(rows: DataFrame, variant: str, named: bool = True) -> DataFrame:
+    """Add scope and window where the variant reads them, and the molecule, or only the text that names it."""
     if variant == "009":
         rows = rows.withColumn("scope", F.concat_ws(" ", "title", "_scope"))
     elif variant == "011":
         rows = rows.join(rules.scope_text(rows, "row_id"), "row_id", "left").withColumn("scope", F.concat_ws(" ", "title", "first_passages"))
-        rows = rows.withColumn("molecule", name_molecule(NAMES_011, F.concat_ws(" ", "title", "text"), F.lit("siRNA")))
+        rows = rows.withColumn("_named", F.concat_ws(" ", "title", "text"))
     elif variant == "012":
         rows = passage_window(rows, "row_id").withColumn("passage", F.col("text"))
         # A row without a passage of its own has no window either.
         rows = rows.withColumn("text", F.when(F.col("passage") == "", "").otherwise(F.col("window_text")))
-        named = F.concat_ws(" ", "title", "text")
-        rows = rows.withColumn("molecule", name_molecule(NAMES_012, named, modality_012(named)))
+        rows = rows.withColumn("_named", F.concat_ws(" ", "title", "text"))
+    if named:
+        rows = rows.withColumns(molecule(variant)).drop("_named")
     return rules.rule_fields(rows.drop("_scope", "first_passages", "window_text"))
 
 
@@ -323,8 +336,12 @@ def scores_sql(variant: str, scores: list[Score]) -> str:
 
 
 def decided(rows: DataFrame, variant: str) -> DataFrame:
+    """Decisions; where rows come without a molecule, it is named only for those that the other rules leave."""
     v = VARIANTS[variant]
-    return rules.decision_cascade(rows, v.rejects, v.grades, v.default_grade).select("row_id", "position", "decision", "reason", "grade")
+    late = {}
+    if "_named" in rows.columns:
+        late = {"late": molecule(variant, "_hints"), "hints": partial(name_hints, NAMING[variant]), "hinted": "_named"}
+    return rules.decision_cascade(rows, v.rejects, v.grades, v.default_grade, **late).select("row_id", "position", "decision", "reason", "grade")
 
 
 def plain_rows(spark, variant: str) -> DataFrame:
@@ -339,7 +356,7 @@ def _register() -> None:
 
         @query(f"decision_cascade_{variant}", cascade_sql(variant))
         def _(spark, sf_dir, variant=variant):
-            return decided(contexts(spark, sf_dir, variant), variant)
+            return decided(contexts(spark, sf_dir, variant, named=False), variant)
 
     for name, variant, scores in (("a", "003", SCORES_003), ("b", "009", SCORES_009), ("c", "011", SCORES_011)):
 
