@@ -341,7 +341,7 @@ def decided(rows: DataFrame, variant: str) -> DataFrame:
     late = {}
     if "_named" in rows.columns:
         late = {"late": molecule(variant, "_hints"), "hints": partial(name_hints, NAMING[variant]), "hinted": "_named"}
-    return rules.decision_cascade(rows, v.rejects, v.grades, v.default_grade, **late).select("row_id", "position", "decision", "reason", "grade")
+    return rules.decision_cascade(rows, v.rejects, v.grades, v.default_grade, linear=True, **late).select("row_id", "position", "decision", "reason", "grade")
 
 
 def plain_rows(spark, variant: str) -> DataFrame:

@@ -18,7 +18,7 @@ def test_a_word_begins_after_a_letter_that_is_not_ascii(spark):
     assert got.reason == REASON + "off-target mention is not supported by primary analysis"
 
 
-def test_decisions_are_those_of_the_rules_one_by_one(spark, monkeypatch):
+def test_decisions_are_those_of_the_rules_one_by_one(spark):
     words = spark.createDataFrame([(t,) for t in texts(patterns(), 400) if t.isascii()], "more string")
     for variant in VARIANTS:
         cases = plain_rows(spark, variant).select("text", "title", "location", "source_kind", "evidence_domain", "article_type", "molecule")
@@ -27,10 +27,9 @@ def test_decisions_are_those_of_the_rules_one_by_one(spark, monkeypatch):
         rows = rows.localCheckpoint()
         linear = decided(rows, variant)
         assert "ArrowEvalPython" in linear._jdf.queryExecution().executedPlan().toString()
-        with monkeypatch.context() as m:
-            m.setattr(rules, "searchable", lambda p: False)
-            single = decided(rows, variant)
-            assert "ArrowEvalPython" not in single._jdf.queryExecution().executedPlan().toString()
+        v = VARIANTS[variant]
+        single = rules.decision_cascade(rows, v.rejects, v.grades, v.default_grade).select(linear.columns)
+        assert "ArrowEvalPython" not in single._jdf.queryExecution().executedPlan().toString()
         assert linear.count() == rows.count() and linear.exceptAll(single).count() == 0
 
 
@@ -50,8 +49,16 @@ def test_nested_tests_and_their_opposites():
 def test_late_fields_are_worked_out_for_rows_left(spark):
     df = spark.createDataFrame([("x",), ("y1",), ("y",)], "text string")
     some = [rules.Reject("has x", (rules.has("text", "x"),)), rules.Reject("no name", (rules.lacks("name", "."),))]
-    got = rules.decision_cascade(df, some, [], "A", late={"name": F.regexp_extract("text", "[0-9]|x", 0)})
-    assert sorted((r.text, r.reason, r.name, r.grade) for r in got.collect()) == [("x", "has x", "", ""), ("y", "no name", "", ""), ("y1", "", "1", "A")]
+    late = {"name": F.regexp_extract("text", "[0-9]|x", 0)}
+    for linear in (False, True):
+        got = rules.decision_cascade(df, some, [], "A", late=late, linear=linear)
+        assert sorted((r.text, r.reason, r.name, r.grade) for r in got.collect()) == [("x", "has x", "", ""), ("y", "no name", "", ""), ("y1", "", "1", "A")]
+
+
+def test_words_follow_unicode_unless_the_search_is_linear(spark):
+    df = spark.createDataFrame([("\u00dftest",)], "text string")
+    some = [rules.Reject("test", (rules.has("text", r"\btest"),))]
+    assert [rules.decision_cascade(df, some, [], linear=x).first().reason for x in (False, True)] == ["", "test"]
 
 
 def test_hints_lose_no_name(spark):
