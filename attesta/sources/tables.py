@@ -298,16 +298,16 @@ def current_export(spark: SparkSession, out_dir: str) -> str:
 
 
 def refresh_exports(tables: Tables, out_dir: str, names: list[str] | None = None) -> None:
-    """Write the curation tables as CSV and JSON lines, and the source manifest as CSV, in place; one job per file set."""
+    """Write the curation tables as CSV and JSON lines, and the source manifest as CSV, in place and gzipped; one job per file set."""
     for name in names or EXPORTED:
-        tables[name].write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{out_dir}/{name}_csv")
-        tables[name].write.mode("overwrite").json(f"{out_dir}/{name}_json")
+        tables[name].write.mode("overwrite").option("header", True).option("escape", '"').option("compression", "gzip").csv(f"{out_dir}/{name}_csv")
+        tables[name].write.mode("overwrite").option("compression", "gzip").json(f"{out_dir}/{name}_json")
     manifest = source_manifest(tables["source_document"])
-    manifest.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{out_dir}/source_manifest_csv")
+    manifest.write.mode("overwrite").option("header", True).option("escape", '"').option("compression", "gzip").csv(f"{out_dir}/source_manifest_csv")
 
 
 def publish_exports(tables: Tables, out_dir: str, names: list[str] | None = None) -> str:
-    """Publish the curation tables as CSV and JSON lines, and the source manifest as CSV; the new version's folder.
+    """Publish the curation tables as CSV and JSON lines, and the source manifest as CSV, gzipped; the new version's folder.
 
     Files are written beside the published ones, read again and compared with the tables by content; only then the
     entry `current` names the new version. A run that fails before leaves the published version whole.
@@ -317,11 +317,11 @@ def publish_exports(tables: Tables, out_dir: str, names: list[str] | None = None
     marks = []
     for name in names or EXPORTED:
         table = tables[name].select(*[f.name for f in TABLES[name].fields])
-        table.write.option("header", True).option("escape", '"').csv(f"{version}/{name}_csv")
-        table.write.json(f"{version}/{name}_json")
+        table.write.option("header", True).option("escape", '"').option("compression", "gzip").csv(f"{version}/{name}_csv")
+        table.write.option("compression", "gzip").json(f"{version}/{name}_json")
         forms = {"table": blank_to_null(table)} | {form: read_export(spark, version, name, form) for form in ("csv", "json")}
         marks += [table_fingerprint(df).select(F.lit(name).alias("name"), F.lit(form).alias("form"), "n", "hash_sum") for form, df in forms.items()]
-    source_manifest(tables["source_document"]).write.option("header", True).option("escape", '"').csv(f"{version}/source_manifest_csv")
+    source_manifest(tables["source_document"]).write.option("header", True).option("escape", '"').option("compression", "gzip").csv(f"{version}/source_manifest_csv")
     unequal = reduce(DataFrame.unionByName, marks).groupBy("name").agg(F.count_distinct("n", "hash_sum").alias("kinds")).where("kinds > 1")
     wrong = [r["name"] for r in unequal.collect()]  # one row per exported table
     if wrong:

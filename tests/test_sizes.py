@@ -1,10 +1,14 @@
 """What steps keep or shuffle stays small against their input, with the same results."""
 
+import gzip
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from attesta import session
 from attesta.lexicons import QuestionTerm
 from attesta.operators import release, search, spelling, windows
+from attesta.sources import tables as sources
 from attesta.sources.adapters import evidence_tables
 
 TINY = "/root/testdata/sf0.001"
@@ -96,3 +100,15 @@ def test_group_split_does_not_shuffle_rows_by_task(spark):
     got = windows.ordinal_group_split(data)
     assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert rows(got.groupBy("split_name").count()) == [("test", 600_000), ("train", 1_800_000), ("validation", 600_000)]
+
+
+def test_exports_are_stored_compressed(spark, tmp_path):
+    tables = evidence_tables(spark, TINY)
+    version = sources.publish_exports(tables, str(tmp_path), ["curation_candidate"])
+    for form in ("csv", "json"):
+        parts = [p for p in Path(version, f"curation_candidate_{form}").iterdir() if p.name.startswith("part-")]
+        assert parts and all(p.suffix == ".gz" for p in parts)
+        plain = sum(len(gzip.decompress(p.read_bytes())) for p in parts)
+        assert sum(p.stat().st_size for p in parts) < plain / 4
+        read = sources.read_export(spark, version, "curation_candidate", form)
+        assert read.count() == tables["curation_candidate"].count() > 0
