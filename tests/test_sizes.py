@@ -112,3 +112,19 @@ def test_exports_are_stored_compressed(spark, tmp_path):
         assert sum(p.stat().st_size for p in parts) < plain / 4
         read = sources.read_export(spark, version, "curation_candidate", form)
         assert read.count() == tables["curation_candidate"].count() > 0
+
+
+def test_rows_are_read_once_when_dimensions_are_given(spark, monkeypatch):
+    tables = evidence_tables(spark, TINY)
+    view, among = release.release_view(tables), release.dimension_rows(tables)
+    parts = release.by_dimension(search.QUESTION_FIELDS)
+    assert len(parts) == 4 and None not in release.holding(parts, among)
+    read = []
+    monkeypatch.setattr(spelling, "key_source", lambda rows: read.append(rows) or rows)
+    questions = spark.createDataFrame([(q, q) for q in ("small ring toxicity", "tiny off-target grade a", "ring")], "question_id string, question string")
+    got = rows(search.ask_counts(view, questions, TERMS, among=among))
+    assert not read and got == rows(search.ask_counts(view, questions, TERMS)) and got
+    assert len(read) == 1
+    queries = spark.createDataFrame([("r", "small ring"), ("t", "tiny"), ("n", "results")], "query_id string, q string")
+    counted = [rows(search.synonym_counts(view, search.EVIDENCE_FIELDS, queries, among=a)) for a in (among, ())]
+    assert counted[0] == counted[1] and counted[0]
